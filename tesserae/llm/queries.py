@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import elias_fano, length_stats, packing, sharding, telephony
+from tesserae.llm import elias_fano, length_stats, line_rules, packing, sharding, suffix_dedup, telephony
 from tesserae.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), 8)
 
 
+def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.verdicts(documents(spark, sf_dir))
+
+
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digest(telephony.store(documents(spark, sf_dir)))
 
@@ -24,15 +28,23 @@ def op8_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.read_documents(elias_fano.write_segments(documents(spark, sf_dir)))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_stats.length_table(length_stats.length_histogram(documents(spark, sf_dir)))
 
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_line_rules": op3_line_rules,
     "op4_telephony": op4_telephony,
     "op5_packing": op5_packing,
     "op8_elias_fano": op8_elias_fano,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_QUERIES: dict[str, str] = {}
+ORACLE_QUERIES: dict[str, str] = {
+    "op3_line_rules": line_rules.ORACLE_SQL,
+}
