@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import elias_fano, length_stats, line_rules, packing, sharding, suffix_dedup, telephony
+from tesserae.llm import elias_fano, jaccard, length_stats, line_rules, packing, sharding, suffix_dedup, telephony
 from tesserae.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), 4, 85)
+
+
 def op8_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.read_documents(elias_fano.write_segments(documents(spark, sf_dir)))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op3_line_rules": op3_line_rules,
     "op4_telephony": op4_telephony,
     "op5_packing": op5_packing,
+    "op7_jaccard": op7_jaccard,
     "op8_elias_fano": op8_elias_fano,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
