@@ -360,3 +360,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     return described.select("doc_id", "n_shingles", "sid").join(reached, "sid", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without those near duplicates whose component has a smaller doc_id."""
+    found = near_duplicates(docs, width, percent)
+    gone = found.where("component_id < doc_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

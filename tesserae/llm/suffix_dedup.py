@@ -467,6 +467,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
+def clean_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with repeats taken out of their texts, without the documents of which nothing is left.
+
+    Characters that a cut splits go too; n_chars, where there is one, is counted anew.
+    """
+    cut = remove_repeats(docs, length)
+    changed = F.col("n_removed") > 0
+    # A cut may split a character; what is not UTF-8 any more becomes a mark that is dropped.
+    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    out = cut.where(~changed | (F.octet_length("kept") > 0)).withColumn("text", F.when(changed, text).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeats(docs.select("doc_id", "text"), length).select(
