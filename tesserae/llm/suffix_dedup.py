@@ -31,6 +31,7 @@ GRAM = 64
 PIECE_STARTS = 512  # a piece's windows at most
 BLOCK_PIECES = 256  # different pieces of a hash that one shard takes
 SHARD_BYTES = 400_000
+SLAB_BYTES = 200_000
 _BYTE_HASH = np.random.default_rng(64).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 
 
@@ -60,17 +61,29 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[: n - width + 1], behind[width - 1 : n])
 
 
-def find_pieces(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and hash of each piece of one text."""
-    gram = min(GRAM, 1 << (length.bit_length() - 2))
+def gram_of(length: int) -> int:
+    return min(GRAM, 1 << (length.bit_length() - 2))
+
+
+def find_pieces(data: np.ndarray, stops: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first window, number of windows and hash of the pieces of texts that follow one another.
+
+    stops: the texts' ends; no text is shorter than length.
+    """
+    gram = gram_of(length)
     minima = window_minima(gram_hashes(data, gram), length - gram + 1)
-    first = np.concatenate([[0], np.flatnonzero(minima[1:] != minima[:-1]) + 1])
-    run = np.diff(first, append=len(minima))
+    begins = np.concatenate([[0], stops[:-1]])
+    last = stops - length + 1  # no window of a text starts here or later
+    cuts = np.unique(np.concatenate([np.flatnonzero(minima[1:] != minima[:-1]) + 1, begins, last]))
+    text = np.searchsorted(stops, cuts, "right")
+    inside = (text < len(stops)) & (cuts < last[np.minimum(text, len(stops) - 1)])
+    run = np.diff(cuts, append=len(minima))[inside]
+    first, text = cuts[inside], text[inside]
     parts = -(-run // PIECE_STARTS)
     within = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
     starts = np.repeat(first, parts) + within * PIECE_STARTS
     counts = np.minimum(np.repeat(run, parts) - within * PIECE_STARTS, PIECE_STARTS)
-    return starts, counts, minima[starts]
+    return np.repeat(text, parts), starts, counts, minima[starts]
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -115,31 +128,41 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray, starts: np.ndarray, cap: int) -> np.ndarray:
-    """Kasai's common prefix of each suffix with the one before it in order, up to cap.
+def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Kasai's common prefix of each suffix with the one before it in order.
 
-    A text's next suffix shares all but one of the characters that its last one shared; the
-    walk goes through all texts (their first positions in starts) in step. order must be
-    complete, with equal suffixes in order of their positions.
+    Where two neighbours in order are one character further on than two others in their texts,
+    they share one character less. So prefixes are compared only where such a chain begins,
+    for all chains at once and eight characters at a time, and carried along the texts.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    shared = np.zeros(n, np.int32)
-    at, stop, h = starts.copy(), ends[starts], np.zeros(len(starts), np.int64)
-    while len(at):
-        other = before[at]
-        mine, theirs = at + h, other + h
-        room = (other >= 0) & (mine < stop) & (h < cap)
-        room &= theirs < ends[other]
-        same = room & (data[np.minimum(mine, n - 1)] == data[np.minimum(theirs, n - 1)])
-        over = ~same
-        shared[at[over]] = h[over]
-        at = at + over
-        h = np.where(same, h + 1, np.maximum(h - 1, 0))
-        left = at < stop
-        if not left.all():
-            at, stop, h = at[left], stop[left], h[left]
+    at = np.arange(n)
+    chained = np.zeros(n, bool)
+    chained[1:] = (before[1:] > 0) & (before[:-1] == before[1:] - 1) & (ends[1:] == ends[:-1])
+    chained[1:] &= (data[:-1] == data[before[1:] - 1]) & (ends[before[1:]] == ends[before[1:] - 1])
+    heads = np.flatnonzero(~chained)
+    shared = np.zeros(n, np.int64)
+    mine = heads[before[heads] >= 0]
+    theirs = before[mine]
+    room = np.minimum(ends[mine] - mine, ends[theirs] - theirs)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]
+    words = np.ascontiguousarray(words).view("<u8").ravel()
+    length = np.zeros(len(mine), np.int64)
+    live = np.arange(len(mine))
+    while len(live):
+        h = length[live]
+        x, y = np.minimum(mine[live] + h, n - 1), np.minimum(theirs[live] + h, n - 1)
+        differ = words[x] ^ words[y]
+        lowest = differ & (~differ + np.uint64(1))
+        step = np.where(differ == 0, 8, np.bitwise_count(lowest - np.uint64(1)).astype(np.int64) >> 3)
+        length[live] = np.minimum(h + step, room[live])
+        live = live[(step == 8) & (h + 8 < room[live])]
+    shared[mine] = length
+    chain = np.maximum.accumulate(np.where(chained, 0, at))
+    shared = shared[chain] - (at - chain)
     return shared[order]
 
 
@@ -150,8 +173,8 @@ def equal_windows(pieces: list[bytes], counts: np.ndarray, length: int) -> tuple
     stops = np.cumsum(sizes)
     starts = stops - sizes
     ends = np.repeat(stops, sizes)
-    order = suffix_array(data, ends, int(sizes.max()))  # Kasai needs the whole order
-    prefix = common_prefixes(data, ends, order, starts, length)
+    order = suffix_array(data, ends, length)
+    prefix = common_prefixes(data, ends, order)
     classes = np.cumsum(prefix < length)
     piece_of = np.repeat(np.arange(len(pieces)), sizes)
     piece = piece_of[order]
@@ -159,6 +182,67 @@ def equal_windows(pieces: list[bytes], counts: np.ndarray, length: int) -> tuple
     return classes[window], order[window], piece[window], starts
 
 
+def _longest_agreement(groups: np.ndarray, data: np.ndarray, at: np.ndarray, room: np.ndarray, step: int, far: int) -> np.ndarray:
+    """How far each place agrees, going by step, with any other place of its group.
+
+    In sorted order the longest agreement is with a neighbour. One of `far` or more counts as
+    all the room there is.
+    """
+    n, width = len(at), min(far, int(room.max(initial=0)))
+    whole, room = room, np.minimum(room, far)
+    names = groups.astype(">u8").tobytes()
+    text = data.tobytes()
+    parts = []
+    for k, (a, m) in enumerate(zip(at.tolist(), room.tolist(), strict=True)):
+        part = text[a : a + m] if step > 0 else text[a - m + 1 : a + 1][::-1]
+        parts.append(names[8 * k : 8 * k + 8] + part.ljust(width, b"\0"))
+    rows = np.frombuffer(b"".join(parts), np.uint8).reshape(n, 8 + width)
+    order = np.argsort(rows.view(f"S{8 + width}").ravel(), kind="stable")
+    ranked, space = rows[order], room[order]
+    same = np.ones((n - 1, 8 + width + 1), bool)
+    same[:, :-1] = ranked[1:] == ranked[:-1]
+    same[:, -1] = False
+    shared = np.minimum(same.argmin(axis=1) - 8, np.minimum(space[1:], space[:-1]))
+    best = np.full(n, -1)
+    best[1:] = shared
+    best[:-1] = np.maximum(best[:-1], shared)
+    out = np.empty(n, np.int64)
+    out[order] = best
+    return np.where(out >= far, whole, out)
+
+
+def trimmed(rows: list[dict], length: int) -> list[tuple[int, int]]:
+    """The range of each piece that may hold a window of another piece of its hash.
+
+    A window holds its hash's gram. A piece with that gram at one place only can agree with
+    another piece no further to either side than it does with its best partner on that side.
+    Pieces of a hash that has other shards are left alone.
+    """
+    gram = gram_of(length)
+    sizes = np.array([len(r["bytes"]) for r in rows], np.int64)
+    data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+    stops = np.cumsum(sizes)
+    starts = stops - sizes
+    hashes = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    piece = np.repeat(np.arange(len(rows)), sizes)[: len(data) - gram + 1]
+    found = np.flatnonzero(gram_hashes(data, gram) == hashes[piece])
+    found = found[found + gram <= stops[piece[found]]]
+    owner = piece[found]
+    if len(found) < 2:
+        return [(0, n) for n in sizes.tolist()]
+    right = _longest_agreement(hashes[owner], data, found + gram, stops[owner] - found - gram, 1, length)
+    left = _longest_agreement(hashes[owner], data, found - 1, found - starts[owner], -1, length)
+    single = np.bincount(owner, minlength=len(rows)) == 1
+    low, high = np.zeros(len(rows), np.int64), sizes.copy()
+    at = found - starts[owner]
+    alone = single[owner] & np.array([r["blocks"] == 1 for r in rows])[owner]
+    low[owner[alone]] = (at - np.maximum(left, 0))[alone]
+    high[owner[alone]] = (at + gram + np.maximum(right, 0))[alone]
+    none = alone & ((left < 0) | (right < 0))  # no other piece at all
+    high[owner[none]] = low[owner[none]]
+    return list(zip(low.tolist(), high.tolist(), strict=True))
+
+
 def runs_of(positions: np.ndarray) -> np.ndarray:
     """Sorted distinct positions -> first, last, first, last, ..."""
     if not len(positions):
@@ -189,7 +273,12 @@ def _solve(rows: list[dict], length: int) -> list[dict]:
     import xxhash
 
     rows = list({(r["h"], r["ph1"], r["ph2"]): r for r in rows}.values())
-    counts = np.array([r["n"] for r in rows], np.int64)
+    ranges = trimmed(rows, length)
+    kept = [k for k, (a, b) in enumerate(ranges) if b - a >= length]
+    if not kept:
+        return []
+    rows = [rows[k] | {"from": ranges[k][0], "bytes": rows[k]["bytes"][ranges[k][0] : ranges[k][1]]} for k in kept]
+    counts = np.array([len(r["bytes"]) - length + 1 for r in rows], np.int64)
     full = np.array([r["whole"] for r in rows], bool)
     blocks = np.array([r["blocks"] for r in rows], np.int64)
     texts = [r["bytes"] for r in rows]
@@ -205,14 +294,14 @@ def _solve(rows: list[dict], length: int) -> list[dict]:
     for k in np.unique(p):
         a, b = np.searchsorted(p, [k, k + 1])
         r = rows[k]
-        out.append(_row(r["h"], r["ph1"], r["ph2"], runs_of(at[a:b]).tolist()))
+        out.append(_row(r["h"], r["ph1"], r["ph2"], (runs_of(at[a:b]) + r["from"]).tolist()))
     heads = np.flatnonzero(edge & (blocks[piece] > 1)) if len(classes) else []
     runs: dict[tuple[int, int], list] = {}
     for k in heads:  # one window of each class
         r, offset = rows[piece[k]], int(place[k] - starts[piece[k]])
         digest = xxhash.xxh3_128_digest(memoryview(r["bytes"])[offset : offset + length])
         key = (int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little"))
-        ref = (0, 0, -1) if repeated[k] else (r["ph1"], r["ph2"], offset)
+        ref = (0, 0, -1) if repeated[k] else (r["ph1"], r["ph2"], offset + r["from"])
         runs.setdefault((r["h"], key[0] % r["blocks"]), []).append((key, ref))
     for (h, rng), run in runs.items():
         run.sort()
@@ -294,30 +383,38 @@ def _emit_pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     import xxhash
 
     seen: set[bytes] = set()
+
+    def slab(names: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
+        joined = b"".join(texts)
+        stops = np.cumsum([len(t) for t in texts])
+        text, starts, n, h = find_pieces(np.frombuffer(joined, np.uint8), stops, length)
+        view = memoryview(joined)
+        ends = (starts + n + length - 1).tolist()
+        digests = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
+        both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        begins = np.concatenate([[0], stops[:-1]])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.binary()).take(pa.array(text)), pa.array((starts - begins[text]).astype(np.int32)),
+             pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+            ["tk", "start", "n", "h", "ph1", "ph2"],
+        )
+
     for batch in gathered(batches, mb=4):
-        keys, places, counts, hashes, digests = [], [], [], [], []
+        names: list[bytes] = []
+        texts: list[bytes] = []
+        size = 0
         for tk, text in zip(batch.column("tk").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
             if tk in seen:
                 continue
             seen.add(tk)
-            buffer = text.as_buffer()
-            starts, n, h = find_pieces(np.frombuffer(buffer, np.uint8), length)
-            view = memoryview(buffer)
-            keys.append(np.full(len(starts), len(keys)))
-            places.append(starts)
-            counts.append(n)
-            hashes.append(h)
-            ends = (starts + n + length - 1).tolist()
-            digests += [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
-            keys[-1] = pa.array([tk] * len(starts), pa.binary())
-        if keys:
-            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.chunked_array(keys).combine_chunks(), pa.array(np.concatenate(places).astype(np.int32)),
-                 pa.array(np.concatenate(counts).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64)),
-                 pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-                ["tk", "start", "n", "h", "ph1", "ph2"],
-            )
+            names.append(tk)
+            texts.append(text.as_buffer().to_pybytes())
+            size += len(texts[-1])
+            if size >= SLAB_BYTES:
+                yield slab(names, texts)
+                names, texts, size = [], [], 0
+        if names:
+            yield slab(names, texts)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -355,8 +452,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs.select("doc_id", "text"))
     long_enough = keyed.where(F.octet_length("text") >= length)
-    texts = long_enough.groupBy("tk").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("bytes")
+    texts = materialize(
+        long_enough.groupBy("tk").agg(
+            F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("bytes")
+        ),
+        "texts",
     )
     all_pieces = materialize(
         long_enough.select("tk", "text").mapInArrow(

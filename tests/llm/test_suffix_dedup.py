@@ -54,7 +54,7 @@ def test_suffix_array_and_prefixes():
     order = S.suffix_array(data, ends, 64)
     suffixes = [bytes(data[i : ends[i]]) for i in order]
     assert suffixes == sorted(suffixes)
-    prefix = S.common_prefixes(data, ends, order, stops - sizes, 64)
+    prefix = S.common_prefixes(data, ends, order)
     for k in range(1, len(order)):
         a, b = suffixes[k - 1], suffixes[k]
         n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
