@@ -127,9 +127,12 @@ WITH d AS (
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), w AS (
-  SELECT doc_id, unnest(range(1, len(words) - {WINDOW - 2})) AS i, words FROM d WHERE len(words) >= {WINDOW}
+  SELECT doc_id, unnest(words) AS w0, unnest(range(1, len(words) + 1)) AS i FROM d
+), v AS (
+  SELECT doc_id, i, w0, {", ".join(f"lead(w0, {k}) OVER p AS w{k}" for k in range(1, WINDOW))}
+  FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)
 ), g AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i+1], words[i+2], words[i+3], words[i+4]) AS n FROM w
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, {", ".join(f"w{k}" for k in range(WINDOW))}) AS n FROM v WHERE w{WINDOW - 1} IS NOT NULL
 ), r AS (
   SELECT doc_id, count(DISTINCT j) AS n_repeat_words
   FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM g WHERE n > 1) GROUP BY doc_id
