@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import ddl, scores
-from tesserae.operators import calibration, comparison, rankings
-from tesserae.queries import query, rounded, table
+from tesserae.operators import calibration, comparison, diagnostics, rankings
+from tesserae.operators.statistics import column_mcv
+from tesserae.queries import (
+    CANDIDATES_SQL, COLUMNS, ESTIMATE_SQL, POSITIONS_SQL, PREDS_SQL, catalog, evaluation_inputs, predicate_rows, query, rounded, table, values_sql,
+)
 
 
 def revenue(spark, sf_dir):
@@ -208,8 +211,6 @@ b AS (SELECT p_brand AS value, count(*) / (SELECT count(*) FROM part WHERE p_siz
 SELECT 'p_brand' AS "column", coalesce(a.value, b.value) AS value, CASE WHEN a.value IS NULL THEN 'right-only' WHEN b.value IS NULL THEN 'left-only' ELSE 'both' END AS "where",
   round(abs(a.f - b.f), 9) AS delta FROM a FULL JOIN b ON a.value = b.value""")
 def mcv_overlap(spark, sf_dir):
-    from tesserae.operators.statistics import column_mcv
-
     part = table(spark, sf_dir, "part")
     one = column_mcv(part.where("p_size <= 12"), ["p_brand"], 1000).where("value <> 'Brand#1'")
     other = column_mcv(part.where("p_size > 12"), ["p_brand"], 1000).where("value <> 'Brand#2'")
@@ -340,8 +341,147 @@ def object_names(spark, sf_dir):
 @query()
 def deployment_plan(spark, sf_dir):
     """The statements that deploy the first two candidates of the catalog."""
-    from tesserae.queries import catalog
-
     rows = catalog(spark).where("precedence_rank < 2").orderBy("precedence_rank").collect()
     plan = ddl.deployment([{"candidate_id": r["candidate_id"], "relation": r["relation"], "mechanism": r["mechanism"], "columns": [r["c1"], r["c2"]]} for r in rows], 100)
     return spark.createDataFrame([(k, s) for k, s in enumerate([*plan["deploy"], *plan["rollback"]])], "step int, statement string")
+
+
+# --- diagnostics -----------------------------------------------------------------------------
+
+
+@query("SELECT p_brand, count(*) AS n FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 200) GROUP BY 1")
+def top_composition(spark, sf_dir):
+    return diagnostics.composition(table(spark, sf_dir, "part"), [F.desc("p_retailprice"), F.asc("p_partkey")], 200, "p_brand")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT query_id, "column" AS c FROM {PREDS_SQL})
+SELECT c AS columns, count(*) AS queries FROM p GROUP BY 1
+UNION ALL SELECT a.c || ',' || b.c, count(*) FROM p a JOIN p b ON a.query_id = b.query_id AND a.c < b.c GROUP BY 1""")
+def column_pair_frequencies(spark, sf_dir):
+    return diagnostics.column_use(predicate_rows(spark))
+
+
+@query(f'SELECT "column", value, count(DISTINCT query_id) AS queries FROM {PREDS_SQL} GROUP BY ALL')
+def constant_frequencies(spark, sf_dir):
+    return diagnostics.constant_use(predicate_rows(spark))
+
+
+LISTS = """l AS (SELECT 'l_linenumber' AS "column", l_linenumber::VARCHAR AS value FROM (SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_linenumber::VARCHAR LIMIT 4)),
+r AS (SELECT 'l_linenumber' AS "column", l_linenumber::VARCHAR AS value FROM (SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1 ORDER BY n DESC, l_linenumber::VARCHAR LIMIT 4))"""
+
+
+def two_lists(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    return column_mcv(items, ["l_linenumber"], 4), column_mcv(items.where("l_quantity > 25"), ["l_linenumber"], 4)
+
+
+@query(f"""WITH {LISTS}, c AS (SELECT DISTINCT "column", value FROM {PREDS_SQL})
+SELECT c."column", c.value, CASE WHEN l.value IS NOT NULL AND r.value IS NOT NULL THEN 'both' WHEN l.value IS NOT NULL THEN 'left-only' WHEN r.value IS NOT NULL THEN 'right-only' ELSE 'neither' END AS place
+FROM c LEFT JOIN l ON l."column" = c."column" AND l.value = c.value LEFT JOIN r ON r."column" = c."column" AND r.value = c.value""")
+def constant_representation(spark, sf_dir):
+    return diagnostics.constant_places(predicate_rows(spark), *two_lists(spark, sf_dir))
+
+
+@query(f"""WITH {LISTS} SELECT 'l_linenumber' AS "column",
+  coalesce((SELECT string_agg(value, ',' ORDER BY value) FROM r WHERE value NOT IN (SELECT value FROM l)), '') AS added,
+  coalesce((SELECT string_agg(value, ',' ORDER BY value) FROM l WHERE value NOT IN (SELECT value FROM r)), '') AS removed""")
+def mcv_added_removed(spark, sf_dir):
+    return diagnostics.list_changes(*two_lists(spark, sf_dir))
+
+
+@query(f"SELECT relation, c1, c2, count(DISTINCT mechanism) AS mechanisms FROM ({CANDIDATES_SQL}) GROUP BY ALL HAVING count(DISTINCT mechanism) > 1")
+def twin_candidates(spark, sf_dir):
+    return diagnostics.twin_candidates(catalog(spark))
+
+
+WANTED = [("lineitem", "mcv", "l_linestatus", "l_returnflag"), ("lineitem", "fd", "l_returnflag", "nowhere"), ("lineitem", "fd", "l_linenumber", "l_linenumber"), ("lineitem", "fd", "l_linestatus", "l_linenumber")]
+
+
+@query(f"""SELECT DISTINCT relation, mechanism, CASE WHEN x.position < y.position THEN a ELSE b END AS c1, CASE WHEN x.position < y.position THEN b ELSE a END AS c2,
+  least(x.position, y.position)::INTEGER AS p1, greatest(x.position, y.position)::INTEGER AS p2
+FROM {values_sql(WANTED, 'relation, mechanism, a, b')} w JOIN {POSITIONS_SQL} x ON x."column" = a JOIN {POSITIONS_SQL} y ON y."column" = b WHERE x.position <> y.position""")
+def explicit_candidates(spark, sf_dir):
+    positions = spark.createDataFrame([("lineitem", c, k) for k, c in enumerate(COLUMNS)], "relation string, column string, position int")
+    return diagnostics.explicit(spark.createDataFrame(WANTED, "relation string, mechanism string, a string, b string"), positions)
+
+
+@query("""SELECT o_custkey::VARCHAR AS candidate_id, o_orderkey::VARCHAR AS query_id FROM orders
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 1)""")
+def incidence_load(spark, sf_dir):
+    links = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("candidate_id"), F.col("o_orderkey").cast("string").alias("query_id"))
+    left = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").cast("string").alias("candidate_id"))
+    right = table(spark, sf_dir, "lineitem").where("l_quantity = 1").select(F.col("l_orderkey").cast("string").alias("query_id"))
+    return diagnostics.known_edges(links, left, right)
+
+
+@query(f"""WITH w AS (SELECT *, row_number() OVER (ORDER BY cents DESC, o_custkey) <= 50 AS best, row_number() OVER (ORDER BY orders DESC, o_custkey) AS x,
+  row_number() OVER (ORDER BY o_custkey) AS y, count(*) OVER () AS n FROM {REVENUE}), r AS (SELECT 'by_orders' AS ranking, best, x AS rank, n FROM w UNION ALL SELECT 'by_key', best, y, n FROM w)
+SELECT ranking, percent::INTEGER AS percent, count(*) AS kept, round(count(*) FILTER (WHERE best) / 50, 9) AS recall FROM r, (VALUES (1), (2), (5), (10), (20), (30), (40), (50), (80), (100)) t(percent)
+WHERE rank <= ceil(n * percent / 100.0) GROUP BY ALL""")
+def screening_recall(spark, sf_dir):
+    ways = {"by_orders": [F.desc("orders"), F.asc("o_custkey")], "by_key": [F.asc("o_custkey")]}
+    return rounded(diagnostics.screening_recall(revenue(spark, sf_dir), ways, order(), 50, [1, 2, 5, 10, 20, 30, 40, 50, 80, 100]))
+
+
+@query(f"""WITH g AS (SELECT target, (lag(mean) OVER (ORDER BY target) - mean) / lag(mean) OVER (ORDER BY target) AS gain FROM {SUMMARY}),
+m AS (SELECT target, max(gain) OVER (ORDER BY target ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM g)
+SELECT min(target) AS knee FROM m WHERE later < 0.002 OR later IS NULL""")
+def target_knee(spark, sf_dir):
+    return diagnostics.knee(comparison.marginal_gains(summary(spark, sf_dir)), 0.002)
+
+
+@query("SELECT c_nationkey::VARCHAR AS candidate_id, (c_custkey % 17)::INTEGER AS round, (c_custkey % 90)::DOUBLE AS improvement FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 90 DESC, c_custkey % 17) = 1")
+def best_context(spark, sf_dir):
+    steps = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("string").alias("candidate_id"), (F.col("c_custkey") % 17).cast("int").alias("round"), (F.col("c_custkey") % 90).cast("double").alias("improvement")
+    )
+    return diagnostics.best_context(steps)
+
+
+@query(f"""SELECT o_custkey AS candidate_id, first, rank::INTEGER AS rank, round(100.0 * (n - rank + 1) / n, 9) AS percentile FROM (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_totalprice > 480000 GROUP BY 1)
+LEFT JOIN (SELECT o_custkey, row_number() OVER (ORDER BY cents DESC, o_custkey) AS rank, count(*) OVER () AS n FROM {REVENUE}) USING (o_custkey)""")
+def accepted_retrospective(spark, sf_dir):
+    ranked = rankings.ranked(revenue(spark, sf_dir), order()).withColumnRenamed("o_custkey", "candidate_id")
+    accepted = table(spark, sf_dir, "orders").where("o_totalprice > 480000").groupBy(F.col("o_custkey").alias("candidate_id")).agg(F.min("o_orderkey").alias("first"))
+    return rounded(diagnostics.retrospective(accepted, ranked).drop("bucket"))
+
+
+PROFILE = "(SELECT c_nationkey::VARCHAR AS candidate_id, count(*) AS affected, count(*) FILTER (WHERE c_acctbal > 5000) AS improved, count(*) FILTER (WHERE c_acctbal <= 0) AS worsened, count(*) FILTER (WHERE c_acctbal > 0.01 AND c_acctbal <= 5000 AND c_nationkey % 7 <> 3) AS unchanged, CASE WHEN c_nationkey % 5 <> 4 THEN 1.0::DOUBLE END AS reduction FROM customer WHERE c_nationkey > 2 GROUP BY c_nationkey)"
+
+
+@query(f"""WITH p AS {PROFILE}, c AS (SELECT n_nationkey::VARCHAR AS candidate_id FROM nation WHERE n_nationkey < 22)
+SELECT * FROM (SELECT coalesce(c.candidate_id, p.candidate_id) AS candidate_id, CASE WHEN c.candidate_id IS NULL THEN 'unknown' WHEN affected IS NULL THEN 'missing'
+  WHEN improved + unchanged + worsened <> affected THEN 'counts' WHEN reduction IS NULL THEN 'reduction' END AS problem FROM c FULL JOIN p ON c.candidate_id = p.candidate_id) WHERE problem IS NOT NULL""")
+def profile_violations(spark, sf_dir):
+    low, nation = F.col("c_acctbal"), F.col("c_nationkey")
+    profile = table(spark, sf_dir, "customer").where(nation > 2).groupBy(nation).agg(
+        F.count("*").alias("affected"), F.count_if(low > 5000).alias("improved"), F.count_if(low <= 0).alias("worsened"),
+        F.count_if((low > 0.01) & (low <= 5000) & (nation % 7 != 3)).alias("unchanged"),
+    )
+    profile = profile.select(nation.cast("string").alias("candidate_id"), "affected", "improved", "worsened", "unchanged", F.when(nation % 5 != 4, 1.0).alias("reduction"))
+    known = table(spark, sf_dir, "nation").where("n_nationkey < 22").select(F.col("n_nationkey").cast("string").alias("candidate_id"))
+    return diagnostics.profile_violations(profile, known)
+
+
+@query(f"WITH {ESTIMATE_SQL} SELECT candidate_id, (row_number() OVER (ORDER BY round(reduction, 6) DESC, CASE mechanism WHEN 'mcv' THEN 0 ELSE 1 END, precedence_rank) - 1)::INTEGER AS precedence_rank FROM profile JOIN c USING (candidate_id)")
+def frozen_precedence(spark, sf_dir):
+    from tesserae.operators import estimation
+
+    profile = rounded(estimation.singleton_profile(*evaluation_inputs(spark, sf_dir)), 6)
+    return diagnostics.frozen_precedence(profile, catalog(spark))
+
+
+@query(f"""SELECT 'lineitem' AS relation, a."column" AS c1, b."column" AS c2, mechanism FROM {POSITIONS_SQL} a JOIN {POSITIONS_SQL} b ON a.position < b.position, (VALUES ('mcv'), ('fd')) m(mechanism)""")
+def calibration_pool(spark, sf_dir):
+    return diagnostics.calibration_pool(spark.createDataFrame([("lineitem", c, k) for k, c in enumerate(COLUMNS)], "relation string, column string, position int"))
+
+
+@query("SELECT target::INTEGER AS target, sample, substr(sha256('27a/' || target::VARCHAR || '/' || sample), 1, 16) AS seed, (target * 300)::INTEGER AS capacity FROM (VALUES (100), (300), (1000)) a(target), (VALUES ('A'), ('B'), ('C')) b(sample)")
+def target_grid(spark, sf_dir):
+    return diagnostics.target_cells(spark, [100, 300, 1000], ["A", "B", "C"], "27a")
+
+
+@query(f"""SELECT "column", target FROM {values_sql([("l_returnflag", 50), ("l_linestatus", -1), ("l_tax", 20)], '"column", target')} WHERE target <> -1 AND "column" IN (SELECT c1 FROM ({CANDIDATES_SQL}) UNION SELECT c2 FROM ({CANDIDATES_SQL}))""")
+def relevant_overrides(spark, sf_dir):
+    rows = spark.createDataFrame([("l_returnflag", 50), ("l_linestatus", -1), ("l_tax", 20)], "column string, target int")
+    return diagnostics.relevant_overrides(rows, catalog(spark))
