@@ -56,8 +56,9 @@ def _covered(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _word_chars(text: Column) -> Column:
-    return F.char_length(F.translate(text, BLANKS, ""))
+def _without(text: Column, pattern: str) -> Column:
+    """Characters of a text that a pattern leaves."""
+    return F.char_length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:
@@ -67,8 +68,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
         {
             "_words": _words(text),
             "_lines": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""),
-            "word_chars": _word_chars(text).cast("long"),
-            "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.char_length(text) - _without(text, f"[{SYMBOLS}]"),
         }
     )
     n = F.size("_words")
@@ -82,11 +82,12 @@ def clean_lines(docs: DataFrame) -> DataFrame:
         F.rlike(x, F.lit(NAVIGATION))
         | F.rlike(x, F.lit(BOILERPLATE))
         | ~F.rlike(x, F.lit(SENTENCE_END))
-        | (marked(x) * 5 > spaces(x) + 1)
+        | ((marked(x) > 0) & (marked(x) * 5 > spaces(x) + 1))
     )
     wide = base.withColumns(
         {
             "n_words": n.cast("long"),
+            "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
             "_windows": F.when(n >= WINDOW, window).otherwise(F.array().cast("array<bigint>")),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "_kept": F.filter("_lines", lambda x: ~bad(x)),
@@ -98,7 +99,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     counted = wide.withColumns({"n_repeat_words": repeats, "kept_text": F.array_join("_kept", "\n")})
     judged = counted.withColumns(
         {
-            "kept_chars": _word_chars(F.col("kept_text")).cast("long"),
+            "kept_chars": _without(F.col("kept_text"), "[ \\t-\\r]+"),
             "n_lines": F.size("_lines").cast("long"),
             "n_lines_kept": F.size("_kept").cast("long"),
             "base_failed": (F.col("n_words") < MIN_WORDS)
