@@ -64,6 +64,8 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_QUERIES: dict[str, str] = {
+    "op1_sharding": sharding.ORACLE_SQL,
     "op3_line_rules": line_rules.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
+    "op7_jaccard": jaccard.ORACLE_SQL,
 }

@@ -44,3 +44,18 @@ def assign_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_row") - F.col("_first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: Shards of documents with distinct ids; the checksum's table comes from its polynomial.
+ORACLE_SQL = """
+WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+             lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+s AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295)::BIGINT AS text_crc32 FROM d, k),
+p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        sum(size) OVER () AS total FROM s),
+q AS (SELECT *, ((8 * (2 * before + size)) // (2 * total))::INTEGER AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard FROM q
+"""
