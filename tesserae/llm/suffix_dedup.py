@@ -32,6 +32,7 @@ PIECE_STARTS = 512  # a piece's windows at most
 BLOCK_PIECES = 256  # different pieces of a hash that one shard takes
 SHARD_BYTES = 400_000
 SLAB_BYTES = 200_000
+LONG_BYTES = 1_000_000
 _BYTE_HASH = np.random.default_rng(64).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 
 
@@ -384,37 +385,38 @@ def _emit_pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
     seen: set[bytes] = set()
 
-    def slab(names: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
-        joined = b"".join(texts)
-        stops = np.cumsum([len(t) for t in texts])
+    def slab(held: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
+        joined = b"".join(part for _, _, part in held)
+        stops = np.cumsum([len(part) for _, _, part in held])
         text, starts, n, h = find_pieces(np.frombuffer(joined, np.uint8), stops, length)
         view = memoryview(joined)
         ends = (starts + n + length - 1).tolist()
         digests = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
         both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        begins = np.concatenate([[0], stops[:-1]])
+        begins = np.concatenate([[0], stops[:-1]]) - np.array([base for _, base, _ in held])
         return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.binary()).take(pa.array(text)), pa.array((starts - begins[text]).astype(np.int32)),
+            [pa.array([tk for tk, _, _ in held], pa.binary()).take(pa.array(text)), pa.array((starts - begins[text]).astype(np.int32)),
              pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
             ["tk", "start", "n", "h", "ph1", "ph2"],
         )
 
     for batch in gathered(batches, mb=4):
-        names: list[bytes] = []
-        texts: list[bytes] = []
+        held: list[tuple[bytes, int, bytes]] = []
         size = 0
         for tk, text in zip(batch.column("tk").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
             if tk in seen:
                 continue
             seen.add(tk)
-            names.append(tk)
-            texts.append(text.as_buffer().to_pybytes())
-            size += len(texts[-1])
-            if size >= SLAB_BYTES:
-                yield slab(names, texts)
-                names, texts, size = [], [], 0
-        if names:
-            yield slab(names, texts)
+            view = memoryview(text.as_buffer())
+            # A long text goes in parts that overlap, so that each window is in one of them.
+            for base in range(0, len(view) - length + 1, LONG_BYTES):
+                held.append((tk, base, bytes(view[base : base + LONG_BYTES + length - 1])))
+                size += len(held[-1][2])
+                if size >= SLAB_BYTES:
+                    yield slab(held)
+                    held, size = [], 0
+        if held:
+            yield slab(held)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:

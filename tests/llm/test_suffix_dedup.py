@@ -65,6 +65,7 @@ def test_suffix_array_and_prefixes():
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(S, "BLOCK_PIECES", block)
     monkeypatch.setattr(S, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(S, "LONG_BYTES", 150 if block == 3 else 10_000)
     texts = corpus()
     length = 60
     rows = [(i, t, "x", "clash") for i, t in enumerate(texts)]
