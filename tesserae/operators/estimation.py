@@ -77,6 +77,28 @@ def estimates(singles: DataFrame, factors: DataFrame, truths: DataFrame, rows: i
     )
 
 
+def design_objectives(singles: DataFrame, factors: DataFrame, truths: DataFrame, rows: int, designs: DataFrame) -> DataFrame:
+    """design, objective, changed: many designs (design, candidate_id) over a workload in one job.
+
+    Only a design's affected queries are estimated for it; the others keep what they have
+    under no statistics at all.
+    """
+    base = estimates(singles, factors.limit(0), truths, rows).select("query_id", F.col("contribution").alias("before"))
+    total = base.agg(F.sum("before").alias("total")).withColumn("_k", F.lit(1))
+    key = F.concat_ws("\u0001", "design", "query_id")
+    hit = factors.join(designs.select("design", "candidate_id").distinct(), "candidate_id").withColumn("_id", key)
+    pairs = hit.select("design", "query_id", "_id").distinct()
+    as_query = lambda d: d.drop("query_id").withColumnRenamed("_id", "query_id")
+    own = estimates(
+        as_query(singles.join(pairs, "query_id")).drop("design"), as_query(hit).drop("design"), as_query(truths.join(pairs, "query_id")).drop("design"), rows
+    ).select(F.col("query_id").alias("_id"), F.col("contribution").alias("after"))
+    gains = own.join(pairs, "_id").join(base, "query_id").groupBy("design").agg(F.sum(F.col("after") - F.col("before")).alias("gain"), F.count("*").alias("changed"))
+    return (
+        designs.select("design").distinct().join(gains, "design", "left").withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")  # one row
+        .select("design", (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("objective"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"))
+    )
+
+
 def objective(evaluated: DataFrame) -> DataFrame:
     return evaluated.agg(F.sum("contribution").alias("objective"), F.count("*").alias("queries"))
 

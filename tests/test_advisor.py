@@ -147,3 +147,16 @@ def test_candidates_are_cut_before_they_are_ranked(spark):
     assert all_of.count() == 12
     cut = candidates.ranked(all_of, cap=2).orderBy("precedence_rank").collect()
     assert [(r["relation"], r["mechanism"], r["c2"], r["precedence_rank"]) for r in cut] == [("t", "mcv", "b", 0), ("t", "mcv", "c", 1), ("u", "mcv", "b", 2), ("u", "mcv", "c", 3)]
+
+
+def test_many_designs_equal_one_by_one(spark):
+    from tesserae.operators import estimation
+    from tesserae.queries import catalog, evaluation_inputs
+
+    inputs = [*(d.cache() for d in evaluation_inputs(spark, SF)[:3]), 6000]
+    ids = [r["candidate_id"] for r in catalog(spark).orderBy("precedence_rank").collect()]
+    designs = {"two": ids[:2], "all": ids, "mixed": [ids[3], ids[1]]}
+    rows = [(d, c) for d, own in designs.items() for c in own]
+    got = {r["design"]: r["objective"] for r in estimation.design_objectives(*inputs, spark.createDataFrame(rows, "design string, candidate_id string")).collect()}
+    for name, own in designs.items():
+        assert got[name] == pytest.approx(estimation.objective(estimation.estimates(*inputs, own)).first()["objective"])
