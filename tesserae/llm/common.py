@@ -37,7 +37,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 24) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
     """Bound the Arrow batches that Python tasks receive, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
@@ -50,7 +50,7 @@ def text_or_empty(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
 
 
-def gathered(batches: Iterator[pa.RecordBatch], mb: int = 16) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], mb: int = 6) -> Iterator[pa.RecordBatch]:
     """Join small batches until about mb megabytes; a single larger batch passes alone."""
     held: list[pa.RecordBatch] = []
     size = 0

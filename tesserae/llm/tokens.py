@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 1
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 #: A Latin-1 word (which NFC leaves alone) with at most one run of plain marks behind it.
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#|]*)")
 _ENCODERS: dict[str, ChunkEncoder] = {}
