@@ -1,9 +1,9 @@
 """Removing byte strings of a given length that start at two or more places of the corpus.
 
 1. Every window of `length` bytes belongs to the smallest hash of its 64-byte grams, so equal
-   windows have the same hash. Neighbouring windows of one hash form a piece. Hashes that
-   occur at one place only cannot hold a repeat and go no further; pieces that occur twice
-   are repeated as a whole.
+   windows have the same hash. Neighbouring windows of one hash form a piece. A hash at one
+   place only can hold a repeat only if its piece has the smallest gram twice (periodic text);
+   others go no further. Pieces that occur twice are repeated as a whole.
 2. The different pieces of a hash meet in a shard: a suffix array (Larsson-Sadakane
    refinement in numpy) with Kasai's common prefixes tells which windows are equal.
 3. A hash with very many different pieces is spread over several shards. Each of them cuts its
@@ -66,13 +66,28 @@ def gram_of(length: int) -> int:
     return min(GRAM, 1 << (length.bit_length() - 2))
 
 
-def find_pieces(data: np.ndarray, stops: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _gram_twice(grams: np.ndarray, minima: np.ndarray, width: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether each run of windows (first to last) has its smallest gram at two positions or more."""
+    none = np.full(width - 1, np.iinfo(np.uint64).max, np.uint64)
+    # A gram is some window's smallest where it equals the greatest minimum of the windows that hold it.
+    at = np.flatnonzero(~window_minima(np.concatenate([none, ~minima, none]), width) == grams)
+    values, ids = np.unique(grams[at], return_inverse=True)
+    n = len(grams)
+    keys = np.append(np.sort(ids * n + at), [len(values) * n] * 2)
+    own = np.searchsorted(values, minima[first]) * n
+    return keys[np.searchsorted(keys, own + first) + 1] <= own + last + width - 1
+
+
+def find_pieces(data: np.ndarray, stops: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, first window, number of windows and hash of the pieces of texts that follow one another.
 
+    Last, whether a piece has its hash's gram more than once: it may repeat within itself.
+
     stops: the texts' ends; no text is shorter than length.
     """
     gram = gram_of(length)
-    minima = window_minima(gram_hashes(data, gram), length - gram + 1)
+    grams = gram_hashes(data, gram)
+    minima = window_minima(grams, length - gram + 1)
     begins = np.concatenate([[0], stops[:-1]])
     last = stops - length + 1  # no window of a text starts here or later
     cuts = np.unique(np.concatenate([np.flatnonzero(minima[1:] != minima[:-1]) + 1, begins, last]))
@@ -84,7 +99,8 @@ def find_pieces(data: np.ndarray, stops: np.ndarray, length: int) -> tuple[np.nd
     within = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
     starts = np.repeat(first, parts) + within * PIECE_STARTS
     counts = np.minimum(np.repeat(run, parts) - within * PIECE_STARTS, PIECE_STARTS)
-    return np.repeat(text, parts), starts, counts, minima[starts]
+    twice = _gram_twice(grams, minima, length - gram + 1, starts, starts + counts - 1)
+    return np.repeat(text, parts), starts, counts, minima[starts], twice
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -229,14 +245,17 @@ def trimmed(rows: list[dict], length: int) -> list[tuple[int, int]]:
     found = np.flatnonzero(gram_hashes(data, gram) == hashes[piece])
     found = found[found + gram <= stops[piece[found]]]
     owner = piece[found]
-    if len(found) < 2:
+    single = np.bincount(owner, minlength=len(rows)) == 1
+    able = single & np.array([r["blocks"] == 1 for r in rows])
+    grouped = np.isin(hashes[owner], hashes[able])  # other groups have nothing to trim
+    found, owner = found[grouped], owner[grouped]
+    if not len(found):
         return [(0, n) for n in sizes.tolist()]
     right = _longest_agreement(hashes[owner], data, found + gram, stops[owner] - found - gram, 1, length)
     left = _longest_agreement(hashes[owner], data, found - 1, found - starts[owner], -1, length)
-    single = np.bincount(owner, minlength=len(rows)) == 1
     low, high = np.zeros(len(rows), np.int64), sizes.copy()
     at = found - starts[owner]
-    alone = single[owner] & np.array([r["blocks"] == 1 for r in rows])[owner]
+    alone = able[owner]
     low[owner[alone]] = (at - np.maximum(left, 0))[alone]
     high[owner[alone]] = (at + gram + np.maximum(right, 0))[alone]
     none = alone & ((left < 0) | (right < 0))  # no other piece at all
@@ -388,7 +407,7 @@ def _emit_pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     def slab(held: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
         joined = b"".join(part for _, _, part in held)
         stops = np.cumsum([len(part) for _, _, part in held])
-        text, starts, n, h = find_pieces(np.frombuffer(joined, np.uint8), stops, length)
+        text, starts, n, h, twice = find_pieces(np.frombuffer(joined, np.uint8), stops, length)
         view = memoryview(joined)
         ends = (starts + n + length - 1).tolist()
         digests = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
@@ -396,8 +415,8 @@ def _emit_pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         begins = np.concatenate([[0], stops[:-1]]) - np.array([base for _, base, _ in held])
         return pa.RecordBatch.from_arrays(
             [pa.array([tk for tk, _, _ in held], pa.binary()).take(pa.array(text)), pa.array((starts - begins[text]).astype(np.int32)),
-             pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-            ["tk", "start", "n", "h", "ph1", "ph2"],
+             pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(twice)],
+            ["tk", "start", "n", "h", "ph1", "ph2", "twice"],
         )
 
     for batch in gathered(batches, mb=4):
@@ -462,21 +481,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     all_pieces = materialize(
         long_enough.select("tk", "text").mapInArrow(
-            lambda it: _emit_pieces(it, length), "tk binary, start int, n int, h long, ph1 long, ph2 long"
+            lambda it: _emit_pieces(it, length), "tk binary, start int, n int, h long, ph1 long, ph2 long, twice boolean"
         ),
         "pieces",
     ).withColumn("place", F.xxhash64("tk", "start"))
-    # Hashes with two places or more.
+    # Hashes with two places or more, or with a piece that may repeat within itself.
     shared = materialize(
-        all_pieces.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("h"), "hashes"
+        all_pieces.groupBy("h")
+        .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("twice").alias("twice"))
+        .where("a <> b or twice")
+        .select("h"),
+        "hashes",
     )
     pieces = materialize(all_pieces.join(shared, "h", "left_semi"), "shared-pieces")
     piece = ["h", "ph1", "ph2"]
     kinds = materialize(
-        pieces.groupBy(*piece).agg(F.min("place").alias("place"), (F.min("place") != F.max("place")).alias("whole")), "kinds"
+        pieces.groupBy(*piece).agg(
+            F.min("place").alias("place"), (F.min("place") != F.max("place")).alias("whole"), F.max("twice").alias("twice")
+        ),
+        "kinds",
     )
     sizes = materialize(
-        kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(~F.col("whole")).alias("open")).where("kinds > 1 and open > 0"),
+        kinds.groupBy("h")
+        .agg(F.count("*").alias("kinds"), F.count_if(~F.col("whole")).alias("open"), F.max("twice").alias("twice"))
+        .where("(kinds > 1 or twice) and open > 0"),
         "sizes",
     )
     blocks = F.ceil(F.col("kinds") / BLOCK_PIECES).cast("int")

@@ -76,6 +76,30 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert sum(w[1] for w in want) > 1000
 
 
+@pytest.mark.parametrize("length", [60, 400])
+def test_repeats_within_one_piece(spark, length):
+    r = random.Random(8)
+    line = "".join(r.choices("abcdefgh ", k=length // 7))
+    plain = ["".join(r.choices("klmnop ", k=3 * length)) for _ in range(3)]
+    texts = ["a" * (length + 1), line * 9, f"{plain[0]}{'Rech. ' * (length // 4)}{plain[1]}", plain[2], "b" * length]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in S.digest(docs, length).collect()}
+    want = brute([t.encode() for t in texts], length)
+    assert [got[i] for i in range(len(texts))] == want
+    assert [w[1] > 0 for w in want] == [True, True, True, False, False]
+
+
+def test_pieces_that_repeat_within_themselves_are_flagged():
+    r = random.Random(5)
+    for _ in range(60):
+        texts = [bytes(r.choices(b"ab", k=r.randint(20, 40)) * r.randint(1, 30))[:900].ljust(20, b"c") for _ in range(4)]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        stops = np.cumsum([len(t) for t in texts])
+        grams = S.gram_hashes(data, S.gram_of(20))
+        for _, a, n, h, twice in zip(*S.find_pieces(data, stops, 20), strict=True):
+            assert twice == (np.count_nonzero(grams[a : a + n + 20 - S.gram_of(20)] == h) > 1)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.digest(docs).count() == 0
