@@ -96,6 +96,12 @@ def test_empty_documents(spark, sf_dir, tmp_path):
         assert docs.count() == 0
 
 
+def test_model_has_no_limit_of_trusted_documents(spark):
+    docs = spark.range(20_100).selectExpr("id as doc_id", "'en' as lang", "'ab' as text")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    assert quality_lm.trusted_counts(docs, labels).groupBy().sum("n").first()[0] == 2 * 20_100
+
+
 def test_model_counts_all_trusted_text(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     n = quality_lm.trusted_counts(docs, labels).groupBy().sum("n").first()[0]
