@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.llm import jaccard, mixing, packing, quality_lm, suffix_dedup
 from tesserae.llm.common import documents, materialize
 
-#: A passage of some fifty words; shorter repeats are taken for phrases.
+#: A passage has so many bytes or over so many words; shorter repeats are taken for phrases.
 PASSAGE_BYTES = 256
+PASSAGE_WORDS = 50
 #: Share of all tokens that the mixture keeps, each document at most once.
 MIX_PERCENT = 90
 
@@ -30,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur twice."""
-    return suffix_dedup.clean_texts(docs, PASSAGE_BYTES)
+    return suffix_dedup.clean_texts(docs, PASSAGE_BYTES, PASSAGE_WORDS + 1)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

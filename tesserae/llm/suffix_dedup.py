@@ -9,6 +9,8 @@
 3. A hash with very many different pieces is spread over several shards. Each of them cuts its
    sorted windows into ranges, and the runs that meet in a range are merged by binary search.
 4. A document's repeated windows, joined back by its text's digest, are cut out.
+5. On request, passages of so many whole words that are shorter than `length` bytes go too:
+   each of them is a window of its own, found by its 128-bit digest.
 
 Defined results: a null text is an empty one; texts shorter than `length` stay whole; texts of
 at least that length that occur twice go whole; repeated rows are copies of one another; an
@@ -33,6 +35,7 @@ BLOCK_PIECES = 256  # different pieces of a hash that one shard takes
 SHARD_BYTES = 400_000
 SLAB_BYTES = 200_000
 LONG_BYTES = 1_000_000
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BYTE_HASH = np.random.default_rng(64).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 
 
@@ -463,10 +466,61 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def short_passages(data: np.ndarray, words: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each passage of `words` whole words in fewer than `length` bytes."""
+    inside = np.concatenate([[False], ~_BLANK[data], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, end = edges[::2], edges[1::2][words - 1 :]
+    first = first[: len(end)]
+    short = end - first < length
+    return first[short], end[short]
+
+
+def _emit_passages(batches: Iterator[pa.RecordBatch], words: int, length: int) -> Iterator[pa.RecordBatch]:
+    """All short passages of texts, with their digests."""
+    import xxhash
+
+    for batch in gathered(batches, mb=4):
+        for tk, text in zip(batch.column("tk").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
+            view = memoryview(text.as_buffer())
+            first, end = short_passages(np.frombuffer(view, np.uint8), words, length)
+            for k in range(0, len(first), 50_000):
+                a, b = first[k : k + 50_000], end[k : k + 50_000]
+                digests = [xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([tk] * len(a), pa.binary()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)),
+                     pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+                    ["tk", "first", "end", "d1", "d2"],
+                )
+
+
+def _passage_spans(keyed: DataFrame, words: int, length: int) -> DataFrame:
+    """tk, spans: repeated passages of `words` words in fewer than `length` bytes, as spans of `length` bytes.
+
+    The last start is the passage's end less `length`, so it lies before the first.
+    """
+    passages = materialize(
+        keyed.where(F.octet_length("text") >= 2 * words - 1)
+        .select("tk", "text")
+        .mapInArrow(lambda it: _emit_passages(it, words, length), "tk binary, first int, end int, d1 long, d2 long"),
+        "passages",
+    )
+    repeated = materialize(passages.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"), "repeated-passages")
+    return (
+        passages.join(repeated, ["d1", "d2"], "left_semi")
+        .select("tk", "first", "end")
+        .distinct()
+        .groupBy("tk")
+        .agg(F.flatten(F.collect_list(F.array(F.col("first"), F.col("end") - length))).alias("spans"))
+    )
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """tk, spans: of each text with repeats its repeated windows, as flat (first, last) starts.
 
-    docs needs doc_id and text. The result is a table in the shared folder.
+    docs needs doc_id and text; with words, repeated passages of so many words count whatever
+    their bytes. The result is a table in the shared folder.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -550,7 +604,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "tk", F.array(F.lit(0), (F.col("bytes") - length).cast("int")).alias("spans")
     )
     collected = hits.groupBy("tk").agg(F.flatten(F.collect_list("part")).alias("spans")).join(single, "tk", "left_semi")
-    return materialize(collected.unionByName(copies), "spans")
+    spans = collected.unionByName(copies)
+    if words:
+        spans = spans.unionByName(_passage_spans(keyed, words, length))
+        spans = spans.groupBy("tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return materialize(spans, "spans")
 
 
 def kept_bytes(text: bytes, spans: np.ndarray, length: int) -> tuple[bytes, int, int]:
@@ -569,9 +627,9 @@ def kept_bytes(text: bytes, spans: np.ndarray, length: int) -> tuple[bytes, int,
     return b"".join(kept), sum(last) - sum(first), len(first)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """docs with kept (the remaining bytes), n_bytes, n_removed and n_spans."""
-    spans = repeated_spans(docs, length)
+    spans = repeated_spans(docs, length, words)
     joined = _keyed(docs).join(spans, "tk", "left").drop("tk")
     fields = [f for f in joined.schema.fields if f.name != "spans"]
     names = [f.name for f in fields]
@@ -597,12 +655,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def clean_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def clean_texts(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """docs with repeats taken out of their texts, without the documents of which nothing is left.
 
     Characters that a cut splits go too; n_chars, where there is one, is counted anew.
     """
-    cut = remove_repeats(docs, length)
+    cut = remove_repeats(docs, length, words)
     changed = F.col("n_removed") > 0
     # A cut may split a character; what is not UTF-8 any more becomes a mark that is dropped.
     text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))

@@ -85,6 +85,33 @@ def test_stages(spark, sf_dir):
     assert n == 149
 
 
+def test_passages_of_short_words(spark):
+    r = random.Random(4)
+    make = lambda k: " ".join("".join(r.choices("abcdefg", k=r.randint(1, 4))) for _ in range(k))
+    fit = lambda k: next(t for t in iter(lambda: make(k), "") if len(t) < 200)
+    over, under, twin = fit(51), fit(50), fit(52)
+    texts = [
+        *(f"{make(30)}\n{p} {make(30)}" for p in (over, over, under, under)),
+        twin, twin, "é " + over, "x" + under + " end", "i " * 52, "i " * 51, "q " * 50, None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in P.repeated_passages(spark, docs, "").collect()}
+    raw = [(t or "").encode() for t in texts]
+    words = [[m.span() for m in re.finditer(BLANK.encode(), t)] for t in raw]
+    spans = [[(w[k][0], w[k + 50][1]) for k in range(len(w) - 50)] for w in words]
+    seen = [t[a:b] for t, s in zip(raw, spans, strict=True) for a, b in s]
+    want = {}
+    for i, (t, s) in enumerate(zip(raw, spans, strict=True)):
+        gone = np.zeros(len(t), bool)
+        for a, b in s:
+            gone[a:b] |= seen.count(t[a:b]) > 1
+        rest = np.frombuffer(t, np.uint8)[~gone].tobytes().decode()
+        if rest or not gone.any():
+            want[i] = rest
+    assert {i: t or "" for i, t in got.items()} == want
+    assert over not in "".join(want.values()) and want[2] == texts[2] and want[10] == texts[10] and 4 not in want
+
+
 def test_run(spark, sf_dir):
     assert P.run(spark, sf_dir).count() > 50
 
