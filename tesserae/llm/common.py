@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,10 +17,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one is set only where none is."""
+    """The cluster's shared folder, spark.checkpoint.dir.
+
+    Where none is set, a local session gets a temporary one; a cluster gets an error, since its
+    executors would each write to a disk of their own.
+    """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tesserae-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -37,10 +44,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
-    """Bound the Arrow batches that Python tasks receive, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+class Scratch:
+    """The tables of one operator: keep() those that are its result, drop() the others."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/tesserae-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables; nothing lazy may read them any more."""
+        context = self.spark.sparkContext
+        for path in self.paths:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths.clear()
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> Iterator[None]:
+    """Bound the Arrow batches of the jobs run inside, by rows and by bytes.
+
+    Settings count when a job runs, so the jobs must run inside; they are restored behind it.
+    """
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(mb << 20),
+    }
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def text_or_empty(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
@@ -51,17 +94,18 @@ def text_or_empty(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
 
 
 def gathered(batches: Iterator[pa.RecordBatch], mb: int = 6) -> Iterator[pa.RecordBatch]:
-    """Join small batches until about mb megabytes; a single larger batch passes alone."""
+    """Join small batches and slice large ones to about mb megabytes; a larger row passes alone."""
     held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        held.append(batch)
-        size += batch.nbytes
-        if size >= mb << 20:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
+    size, most = 0, mb << 20
+    for whole in batches:
+        step = max(1, whole.num_rows * most // max(whole.nbytes, 1))
+        for at in range(0, whole.num_rows, step):
+            batch = whole.slice(at, step)
+            held.append(batch)
+            size += batch.nbytes
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 

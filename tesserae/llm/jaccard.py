@@ -1,49 +1,50 @@
 """Near-duplicate components of documents by Jaccard similarity of word shingles.
 
-1. Equal shingle sets are one node. Nodes meet by MinHash bands whose number makes a missed
-   pair at the threshold as unlikely as 1e-10.
-2. Each band group's members are compared exactly with the group's first node; links found
-   give first components. Most groups are then of one component and are done.
-3. In the other groups, signature trees of the members (nodes hold OR-combined token bitmaps
-   and size ranges) are traversed in pairs; node pairs whose largest possible overlap is too
-   small are pruned, document pairs of one component are skipped, and what is left is
-   compared exactly. Groups are split by size class and into blocks.
+1. Equal shingle sets are one node. All shingles have a common order: rare ones first, by a
+   counting sketch over all documents, then by hash. Two sets similar enough share one of the
+   first n - ceil(percent * n / 100) + 1 shingles of either (n: its size), whatever the order,
+   so the nodes that have a shingle among their first ones form a group and no pair is missed.
+   Groups of the same nodes are one.
+2. Signature trees (their nodes hold OR-combined token bitmaps and size ranges) find the pairs:
+   the tree of a group's first node is traversed against trees of the others, node pairs whose
+   largest possible overlap is too small are pruned, and what is left is compared exactly.
+   The links give first components. Most groups are then of one component and are done.
+3. In the other groups the trees of the members are traversed against each other, in size
+   classes and blocks; document pairs of one component are skipped.
 
 Defined results: null and blank texts have an empty set and link with nothing; fewer words
-than a shingle has form one shingle; repeated rows and equal texts link; an empty table gives
-no rows; other columns are not read.
+than a shingle has form one shingle; repeated rows and equal texts link; documents with one
+doc_id and different texts are nodes of their own, with one doc_id; a null doc_id takes the
+smallest doc_id of its component, or null; an empty table gives no rows; near_duplicates()
+reads no other columns, one_of_each() passes them through under any name.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import gathered, materialize, small_batches, text_or_empty
+from tesserae.llm.common import Scratch, bounded_batches, gathered, text_or_empty
 from tesserae.llm.components import components
 
-MISS = 1e-10
 BITS = 4096
 BLOCK = 256
 FANOUT = 8
+SKETCH_BITS = 20  # the sketch has 2 ** 20 cells, at any size of the corpus
+CHUNK = 1 << 12
 _RANDOM = np.random.default_rng(85)
 _MIX = _RANDOM.integers(1, 1 << 63, 16, np.uint64) | np.uint64(1)
 _WORD_SALT = _RANDOM.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 _ABSENT = np.uint64(0x5851F42D4C957F2D)
 
 
-def bands_for(percent: int) -> tuple[int, int]:
-    """Rows and number of bands: a pair at the threshold stays apart with probability MISS."""
-    rows = 5 if percent >= 85 else 4
-    return rows, math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** rows))
-
-
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     x = x * _MIX[k]
     x ^= x >> np.uint64(32)
@@ -87,18 +88,21 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def band_keys(shingles: np.ndarray, rows: int, bands: int, multipliers: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of MinHash values."""
-    low = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(rows * bands, np.uint32(0xFFFFFFFF))
-    for a in range(0, len(low), 512):
-        part = low[a : a + 512]
-        np.minimum(least, (multipliers[:, None] * part[None, :]).min(axis=1), out=least)
-    wide = least.reshape(bands, rows).astype(np.uint64)
-    key = np.arange(bands, dtype=np.uint64) * _MIX[4]
-    for k in range(rows):
-        key = _mixed(key ^ wide[:, k], 5)
-    return key.view(np.int64)
+def _name(shingles: np.ndarray) -> bytes:
+    """128 bits that tell sets apart."""
+    one, two = _mixed(shingles ^ np.uint64(9), 6), _mixed(shingles ^ np.uint64(5), 8)
+    return one.sum(dtype=np.uint64).tobytes() + two.sum(dtype=np.uint64).tobytes()
+
+
+def sketch_cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def first_shingles(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """Those shingles of a sorted set of which a similar set must share one."""
+    n = len(shingles)
+    order = np.argsort(levels[sketch_cells(shingles)], kind="stable")  # ties by hash
+    return shingles[order[: n + 1 + (-percent * n) // 100]]
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -169,32 +173,102 @@ def traverse(one: SignatureTree, other: SignatureTree, percent: int) -> tuple[np
             lb -= 1
 
 
-def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    rows, bands = bands_for(percent)
+def _describe(docs: DataFrame, width: int) -> DataFrame:
+    """Each document's set by size and 128-bit name; rows with a chunk hold a partition's sketch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        multipliers = np.random.default_rng(7).integers(0, 1 << 32, rows * bands, np.uint32) | np.uint32(1)
+        cells = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in gathered(batches, mb=4):
             sets = shingle_sets(text_or_empty(batch), width)
-            names = [
-                _mixed(s ^ np.uint64(9), 6).sum(dtype=np.uint64).tobytes()
-                + _mixed(s ^ np.uint64(5), 8).sum(dtype=np.uint64).tobytes()
-                if len(s)
-                else None
-                for s in sets
-            ]
-            keys = [band_keys(s, rows, bands, multipliers) if len(s) else None for s in sets]
+            joined = np.concatenate(sets)
+            if len(joined):
+                cells += np.bincount(sketch_cells(joined), minlength=len(cells))
+            names = [_name(s) if len(s) else None for s in sets]
+            n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "n_shingles", "sid", "keys", "bits"],
+                [batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                ["doc_id", "th", "n_shingles", "sid", "chunk", "cells"],
             )
-
-    return docs.select("doc_id", "text").mapInArrow(
-        scan, "doc_id long, n_shingles long, sid binary, keys array<bigint>, bits binary"
+        parts = np.minimum(cells, 65535).astype("<u2").reshape(-1, CHUNK)
+        used = np.flatnonzero(parts.any(axis=1))
+        n = len(used)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary()), pa.array(used.astype(np.int32)),
+             pa.array([zlib.compress(parts[k].tobytes(), 1) for k in used], pa.binary())],
+            ["doc_id", "th", "n_shingles", "sid", "chunk", "cells"],
+        )
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
+        scan, "doc_id long, th long, n_shingles long, sid binary, chunk int, cells binary"
     )
 
 
+def _levels(described: DataFrame) -> np.ndarray:
+    """How common a cell's shingles are in all documents: four levels to a doubling."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sums = None, np.zeros(CHUNK, np.int64)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["chunk", "cells"])
+        for batch in batches:
+            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                if last is not None and chunk != last:
+                    yield row()
+                    sums = np.zeros(CHUNK, np.int64)
+                last = chunk
+                sums += np.frombuffer(zlib.decompress(packed), "<u2")
+        if last is not None:
+            yield row()
+
+    # 2 ** SKETCH_BITS numbers come to the driver and go to the tasks as a byte each.
+    rows = (
+        described.where("chunk is not null").select("chunk", "cells").repartition("chunk").sortWithinPartitions("chunk")
+        .mapInArrow(total, "chunk int, cells binary").collect()
+    )
+    counts = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, np.int64)
+    for r in rows:
+        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["cells"], np.int64)
+    return np.ceil(4 * np.log2(counts + 1)).astype(np.uint8)
+
+
+def _first_keys(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """sid, n_shingles, keys: each set's first shingles; a set may come several times."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: set[int] = set()
+        for batch in gathered(batches, mb=4):
+            # Copies that lie close together give their set once.
+            hashes = batch.column("th").to_pylist()
+            new = [k for k, h in enumerate(hashes) if h not in last and not last.add(h)]
+            if len(last) > 100_000:
+                last.clear()
+            if not new:
+                continue
+            sets = [s for s in shingle_sets(text_or_empty(batch).take(pa.array(new, pa.int64())), width) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_name(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([first_shingles(s, levels, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                ["sid", "n_shingles", "keys"],
+            )
+
+    return docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(scan, "sid binary, n_shingles long, keys array<bigint>")
+
+
+def _whole_sets(chosen: DataFrame, width: int) -> DataFrame:
+    """node, n_shingles, bits, shingles from node and text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, mb=4):
+            sets = shingle_sets(text_or_empty(batch), width)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["node", "n_shingles", "bits", "shingles"],
+            )
+
+    return chosen.select("node", "text").mapInArrow(scan, "node long, n_shingles long, bits binary, shingles binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes that are similar enough, from their whole sets."""
 
@@ -212,14 +286,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append((100 + percent) * int(np.count_nonzero(q[spot] == p)) >= need)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    whole = sets.select("node", "shingles")
+    first = pairs.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
     # The b side may be a hot node; its set is joined from a table so that AQE can split it.
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    both = first.join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def _in_groups(rows: DataFrame, percent: int, reducers: int) -> DataFrame:
-    """Pairs of different components in blocks of a band group that the trees leave over."""
+def _by_trees(rows: DataFrame, percent: int, reducers: int) -> DataFrame:
+    """Pairs of different labels in the blocks of a group that the trees leave over."""
 
     def solve(held: list[dict]) -> pa.RecordBatch:
         queries = [r for r in held if r["query"]]
@@ -259,34 +334,51 @@ def _in_groups(rows: DataFrame, percent: int, reducers: int) -> DataFrame:
     return rows.repartition(reducers, *at).sortWithinPartitions(*at).mapInArrow(stream, "a long, b long")
 
 
-def _blocks(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _stars(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Blocks of the nodes that meet a group's first node (leader), each with that node as its query."""
+    counts = stars.groupBy("leader").count().select(F.col("leader").alias("key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    own = stars.join(counts, F.col("leader") == F.col("key")).select(
+        "key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("j"), "node", F.lit(False).alias("query")
+    )
+    queries = counts.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("key").alias("node"), F.lit(True).alias("query"))
+    return (
+        own.unionByName(queries)
+        .join(sets.select("node", "n_shingles", "bits"), "node")
+        .select(
+            "key", F.lit(0).alias("size_class"), "node", F.col("node").alias("label"), "n_shingles", "bits", "query",
+            F.lit(0).alias("i"), "j", F.lit(False).alias("inner"),
+        )
+    )
+
+
+def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Members of groups with several components, in size classes and blocks.
 
     A group's members outside the component of its first node are queries; the others are
     only targets. Query blocks meet every target block and each other.
     """
     named = labels.select("node", "component")
-    labelled = materialize(
+    labelled = scratch.table(
         members.join(named, "node", "left").withColumn("label", F.coalesce("component", "node")).select("key", "node", "leader", "label"),
         "labelled",
     )
-    mixed = materialize(
+    mixed = scratch.table(
         labelled.groupBy("key")
         .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("node") == F.col("leader"), F.col("label"))).alias("first_label"))
         .where("x <> y")
         .select("key", "first_label"),
         "mixed",
     )
-    sized = materialize(
+    sized = scratch.table(
         labelled.join(mixed, "key")
-        .withColumn("query", F.col("label") != F.coalesce("first_label", F.lit(-1)))
-        .join(nodes.select("node", "n_shingles", "bits"), "node")
+        .withColumn("query", F.col("label") != F.col("first_label"))
+        .join(sets.select("node", "n_shingles", "bits"), "node")
         .withColumn("own_class", F.floor(F.log("n_shingles") / math.log(100 / percent) - 1e-9).cast("int"))
         .withColumn("size_class", F.explode(F.array("own_class", F.col("own_class") + 1)))
         .select("key", "size_class", "node", "label", "n_shingles", "bits", "query"),
         "sized",
     )
-    counts = materialize(
+    counts = scratch.table(
         sized.groupBy("key", "size_class")
         .agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("t"))
         .where("q > 0 and q + t > 1"),
@@ -312,61 +404,90 @@ def _blocks(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     return targets.unionByName(against_targets).unionByName(among_queries)
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that a document reaches by links."""
+def classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component (null: an empty set), component_id."""
     spark = docs.sparkSession
-    small_batches(spark)
+    scratch = Scratch(spark)
     reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    described = materialize(_describe(docs, width, percent), "described")
-    reps = materialize(described.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("node")), "reps")
-    # One row for each distinct set: the row of its smallest doc_id.
-    nodes = materialize(
-        described.join(reps, (described["sid"] == reps["sid"]) & (described["doc_id"] == reps["node"]))
-        .select("node", "n_shingles", "keys", "bits")
-        .dropDuplicates(["node"]),
-        "nodes",
-    )
-    banded = nodes.select("node", F.explode("keys").alias("key"))
-    groups = materialize(
-        banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader"),
-        "groups",
-    )
-    members = materialize(banded.join(groups, "key").select("key", "node", "leader"), "members")
-    wanted = members.select("node").distinct()
+    with bounded_batches(spark):
+        described = scratch.table(_describe(docs, width), "described")
+        levels = _levels(described)
+        rows = described.where("chunk is null").drop("chunk", "cells")
+        # One row for each distinct set, with the smallest doc_id and one document that has it.
+        names = rows.where("sid is not null").groupBy("sid").agg(
+            F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("one")
+        )
+        nodes = scratch.table(
+            _first_keys(docs, width, percent, levels)
+            .groupBy("sid").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+            .withColumn("node", F.monotonically_increasing_id()),
+            "nodes",
+        )
+        named = scratch.table(nodes.select("sid", "node").join(names, "sid"), "names")
+        keyed = nodes.select("node", F.explode("keys").alias("key"))
+        shared = keyed.groupBy("key").agg(
+            F.count("*").alias("n"), F.min("node").alias("leader"),
+            F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        )
+        # Shingles of the same nodes have the same count and checksums; one of them stands for all.
+        groups = scratch.table(
+            shared.where("n > 1").groupBy("n", "x", "y", "leader").agg(F.min("key").alias("key")).select("key", "leader"), "groups"
+        )
+        members = scratch.table(keyed.join(groups, "key").select("key", "node", "leader"), "members")
+        wanted = members.select("node").distinct().join(named, "node").select("node", "one.doc_id", "one.th")
+        chosen = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("d").join(
+            wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))
+        )
+        sets = scratch.table(_whole_sets(chosen, width).dropDuplicates(["node"]), "sets")
+        stars = scratch.table(members.where("node <> leader").select("leader", "node").distinct(), "stars")
+        close = _by_trees(_stars(stars, sets), percent, reducers)
+        links = scratch.table(_verified(close, sets, percent), "links")
+        labels = components(links, scratch)
+        rest = _by_trees(_blocks(members, labels, sets, percent, scratch), percent, reducers).distinct()
+        more = scratch.table(_verified(rest, sets, percent), "more-links")
+        final = components(links.unionByName(more), scratch) if more.limit(1).count() else labels
+        reached = scratch.table(
+            named.join(final, "node", "left").select("sid", "first_id", F.coalesce("component", "node").alias("component")), "reached"
+        )
+        least = reached.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        homes = scratch.table(reached.join(least, "component").select("sid", "component", "component_id"), "homes")
+        out = Scratch(spark).table(
+            rows.join(homes, "sid", "left").select("doc_id", "th", "n_shingles", "component", "component_id"), "classified"
+        )
+    scratch.drop()
+    return out
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, mb=4):
-            sets = shingle_sets(text_or_empty(batch), width)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"]
-            )
 
-    sets = materialize(
-        docs.select("doc_id", "text")
-        .join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
-        .mapInArrow(sets_of, "node long, shingles binary")
-        .dropDuplicates(["node"]),
-        "sets",
-    )
-    stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = materialize(_verified(stars, sets, percent), "links")
-    labels = materialize(components(links), "labels")
-    left = _in_groups(_blocks(members, labels, nodes, percent), percent, reducers).distinct()
-    more = materialize(_verified(left, sets, percent), "more-links")
-    final = materialize(components(links.unionByName(more)), "final") if more.limit(1).count() else labels
-    reached = materialize(
-        reps.join(final, "node", "left").select("sid", F.coalesce("component", "node").alias("component")), "reached"
-    )
-    return described.select("doc_id", "n_shingles", "sid").join(reached, "sid", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that a document reaches by links."""
+    found = classified(docs, width, percent)
+    return found.select(
+        "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those near duplicates whose component has a smaller doc_id."""
-    found = near_duplicates(docs, width, percent)
-    gone = found.where("component_id < doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one document of each component: that of its smallest doc_id (nulls last).
+
+    Of several texts under that doc_id one stays, and of equal rows one.
+    """
+    found = classified(docs, width, percent).where("component is not null")
+    key: list[Column] = [F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th")]
+    best = found.groupBy("component").agg(F.min(F.struct(*key)).alias("best"))
+    gone = (
+        found.join(best, "component")
+        .where(F.struct(*key) != F.col("best"))
+        .select("doc_id", "th")
+        .distinct()
+    )
+    same = F.col("d.doc_id").eqNullSafe(F.col("named.doc_id")) & (F.xxhash64("d.text") == F.col("named.th"))
+    kept = docs.alias("d").join(gone.alias("named"), same, "left_anti")
+    twice = found.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th")
+    if not twice.limit(1).count():
+        return kept
+    once = kept.alias("d").join(twice.alias("named"), same, "left_anti")
+    several = kept.alias("d").join(twice.alias("named"), same, "left_semi")
+    return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 
 #: near_duplicates() at four words and 0.85, for tables on which a join by shingle is small.

@@ -60,8 +60,63 @@ def test_against_brute_force(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(J, "BLOCK", block)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, node string")
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
     got = sorted(tuple(r) for r in J.near_duplicates(docs, width, percent).collect())
     assert got == brute(texts, width, percent)
+    assert spark.conf.get(conf) == before
+
+
+def test_first_shingles_of_similar_sets_meet():
+    r = np.random.default_rng(6)
+    levels = r.integers(0, 9, 1 << J.SKETCH_BITS).astype(np.uint8)
+    for _ in range(300):
+        pool = r.integers(0, 1 << 63, int(r.integers(1, 60)), np.uint64) * np.uint64(2)
+        a, b = (np.unique(pool[r.random(len(pool)) < 0.93]) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= 85 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(J.first_shingles(a, levels, 85), J.first_shingles(b, levels, 85)))
+
+
+def test_repeated_and_null_ids(spark):
+    r = random.Random(9)
+    a, b = (" ".join("".join(r.choices("abcdef", k=5)) for _ in range(60)) for _ in range(2))
+    more = "one more word in a text of its own without a twin".split()
+    rows = [(1, a), (1, b), (6, b + " more"), (9, a.upper() + " end"), (None, a + " last"), (None, " ".join(more)), (7, None), (7, ""), (4, "x y"), (4, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, J.near_duplicates(docs).collect()), key=str)
+    n = [len(s) for s in sets_of([t for _, t in rows], 4)]
+    want = [1, 1, 1, 1, 1, None, 7, 7, 4, 4]
+    assert got == sorted([(i, n[k], want[k]) for k, (i, _) in enumerate(rows)], key=str)
+
+
+def test_one_of_each(spark):
+    r = random.Random(10)
+    a, b, c = (" ".join("".join(r.choices("abcdef", k=5)) for _ in range(80)) for _ in range(3))
+    rows = [(1, a, "k", 0), (1, b, "k", 1), (6, b + " more", "k", 2), (None, a + " last", "k", 3), (None, c, "k", 4), (None, c, "k", 5),
+            (7, None, "k", 6), (7, None, "k", 6), (8, "", "k", 7), (4, "x y", "k", 8), (4, "x y", "k", 8), (3, "x y", "k", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, th int")
+    out = J.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, c), (7, None), (7, None), (8, ""), (3, "x y")], key=str)
+
+
+def test_common_shingles_keep_links(spark):
+    """A passage in most documents, one family of many copies with small changes, texts of common words only."""
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefgh", k=4)) for _ in range(500)]
+    passage = r.choices(words, k=50)
+    base = r.choices(words, k=90)
+    texts = [" ".join(passage), " ".join(passage[:49] + ["end"]), " ".join(passage[1:])]
+    for _ in range(150):
+        w = list(base)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(90)] = r.choice(words)
+        texts.append(" ".join(w))
+    texts += [" ".join(r.choices(words, k=r.randint(5, 40)) + passage + r.choices(words, k=r.randint(0, 9))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in J.near_duplicates(docs).collect()) == brute(texts, 4, 85)
 
 
 def test_trees_lose_no_pair():
