@@ -1,8 +1,9 @@
 """Telephony audio columns: 8-bit mu-law, A-law and IMA ADPCM in WAV containers.
 
-store() keeps a payload byte for byte as samples of one codec; decode() expands mu-law and
-A-law by lookup tables, decodes ADPCM block-parallel in numpy (one step of all blocks at a
-time) and resamples to 16 kHz PCM; digest() reads the stored bytes back and describes them.
+store() writes a payload byte for byte as samples of one codec into a table of the shared
+folder; decode() expands mu-law and A-law by lookup tables, decodes ADPCM block-parallel in
+numpy (one step of all blocks at a time) and resamples to 16 kHz PCM, which store_pcm() writes
+as a table too; digest() reads the stored bytes back and describes them and their PCM.
 
 Defined results: a null text is an empty one; a payload is filled up with blanks to a
 positive multiple of 192 bytes; equal texts give equal bytes; an empty table gives no rows;
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import gathered, small_batches, text_or_empty
+from tesserae.llm.common import bounded_batches, gathered, materialize, text_or_empty
 
 UNIT = 192
 RATE, TARGET_RATE = 8000, 16000
@@ -160,8 +161,7 @@ def decoded(media: list[bytes]) -> list[tuple[str, bytes, np.ndarray]]:
 
 
 def store(docs: DataFrame, codec: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, media: each text as a WAV file of one codec (default: by content)."""
-    small_batches(docs.sparkSession)
+    """doc_id, n_bytes, media: each text as a stored WAV file of one codec (default: by content)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
@@ -173,7 +173,8 @@ def store(docs: DataFrame, codec: str | None = None) -> DataFrame:
                 ["doc_id", "n_bytes", "media"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(write, "doc_id long, n_bytes long, media binary")
+    with bounded_batches(docs.sparkSession):
+        return materialize(docs.select("doc_id", "text").mapInArrow(write, "doc_id long, n_bytes long, media binary"), "media")
 
 
 def decode(stored: DataFrame) -> DataFrame:
@@ -191,6 +192,12 @@ def decode(stored: DataFrame) -> DataFrame:
     return stored.select("doc_id", "media").mapInArrow(read, "doc_id long, codec string, rate int, pcm binary")
 
 
+def store_pcm(stored: DataFrame) -> DataFrame:
+    """The table of decode(), written and read again."""
+    with bounded_batches(stored.sparkSession, mb=4):
+        return materialize(decode(stored), "pcm")
+
+
 def feature_of(codec: str, pcm: np.ndarray) -> str:
     """Codec, rate, samples, root mean square, sign changes, checksum of the resampled PCM."""
     wide = pcm.astype(np.int64)
