@@ -7,8 +7,10 @@ siblings take it. A leaf's budget is whole epochs of its documents and a token p
 next, in that epoch's seeded order.
 
 Defined results: a null text has no tokens; null languages and sources are leaves of their
-own; repeated rows count each; equal hashes are ordered by doc_id; an empty table gives no
-rows; other columns are not read. Weights are whole numbers; a node without one has 1.
+own; repeated rows count each; the order of a leaf is that of hashes of doc_id and text, so rows
+with equal or null doc_ids are told apart by their texts, and only equal ones tie; an empty
+table gives no rows; other columns are not read by mix() and pass through chosen(). Weights are
+whole numbers; a node without one has 1.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ def default_domain() -> Column:
     return F.concat(F.lit("domain"), F.coalesce(F.ascii(F.right("source", F.lit(1))), F.lit(0)) % 3)
 
 
+def _text_md5(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def _share(children: DataFrame, parent: list[str], weights: Mapping[str, int]) -> DataFrame:
     """Add each child's budget; needs parent columns, name, capacity and parent_budget.
 
@@ -69,7 +75,7 @@ def leaf_budgets(
     return leaves.join(known, on=same).select(*LEVELS, "tokens", F.floor(F.col("parent_budget") + 1e-6).cast("long").alias("budget"))
 
 
-def mix(
+def uses(
     docs: DataFrame,
     weights: Mapping[str, Mapping[str, int]],
     percent: int = 80,
@@ -77,14 +83,14 @@ def mix(
     seed: int = 6,
     domain: Column | None = None,
 ) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens, epoch: a row for each use of a document.
+    """doc_id, text_md5, domain, lang, source, n_tokens, epoch: a row for each use of a document.
 
     The budget is `percent` of all tokens.
     """
     counted = materialize(
         docs.select(
             "doc_id", (domain if domain is not None else default_domain()).alias("domain"), "lang", "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
+            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"), _text_md5("text").alias("text_md5"),
         ),
         "counted",
     )
@@ -100,13 +106,32 @@ def mix(
     )
     same = [counted[c].eqNullSafe(plan[f"_{c}"]) for c in LEVELS]
     planned = counted.join(plan, on=same).select(*counted.columns, "whole", "rest")
-    uses = planned.where("whole > 0").select(*counted.columns, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"))
-    key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rounds = planned.where("whole > 0").select(*counted.columns, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"))
+    key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_md5"))
     partial = planned.where("rest > 0").withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, 3))
     # A leaf's tokens before a document: of earlier buckets of its hash, then inside its own.
     prefix = running_before(partial, ["_bucket"], ["_key", "doc_id"], {"_before": "n_tokens"}, within=LEVELS)
     part = prefix.where(F.col("_before") + F.col("n_tokens") <= F.col("rest")).select(*counted.columns, F.col("whole").alias("epoch"))
-    return uses.unionByName(part).select("doc_id", *LEVELS, "n_tokens", "epoch")
+    return rounds.unionByName(part).select("doc_id", "text_md5", *LEVELS, "n_tokens", "epoch")
+
+
+def mix(
+    docs: DataFrame,
+    weights: Mapping[str, Mapping[str, int]],
+    percent: int = 80,
+    max_epochs: int = 2,
+    seed: int = 6,
+    domain: Column | None = None,
+) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens, epoch: a row for each use of a document."""
+    return uses(docs, weights, percent, max_epochs, seed, domain).drop("text_md5")
+
+
+def chosen(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], percent: int, seed: int = 6) -> DataFrame:
+    """docs that the mixture uses when it takes each at most once; rows equal in doc_id and text stay together."""
+    used = uses(docs, weights, percent, 1, seed).select("doc_id", "text_md5").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("used.doc_id")) & (_text_md5("d.text") == F.col("used.text_md5"))
+    return docs.alias("d").join(used.alias("used"), same, "left_semi")
 
 
 QUERY_WEIGHTS = {
@@ -145,7 +170,7 @@ b{depth} AS (SELECT {path}, least(capacity::DOUBLE, w * max(level) OVER ({part})
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT doc_id, 'domain' || (coalesce(ascii(right(source, 1)), 0) % 3) AS domain, lang, source,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens, md5(coalesce(text, '')) AS text_md5
   FROM documents
 ), leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
 {_level_sql(0)},{_level_sql(1)},{_level_sql(2)},
@@ -161,7 +186,7 @@ plan AS (
   UNION ALL
   SELECT doc_id, domain, lang, source, n_tokens, whole AS epoch
   FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
-                    ORDER BY md5('{QUERY_SEED}/' || whole::BIGINT || '/' || coalesce(doc_id::VARCHAR, '')), doc_id) AS upto FROM j WHERE rest > 0)
+                    ORDER BY md5('{QUERY_SEED}/' || whole::BIGINT || '/' || coalesce(doc_id::VARCHAR, '') || '/' || text_md5), doc_id) AS upto FROM j WHERE rest > 0)
   WHERE upto <= rest
 )
 SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, epoch::INTEGER AS epoch FROM u
