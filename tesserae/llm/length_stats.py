@@ -13,13 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import gathered, running_before, small_batches, text_or_empty
+from tesserae.llm.common import bounded_batches, gathered, materialize, running_before, text_or_empty
 from tesserae.llm.tokens import default_tokenizer, encoder
 
 
 def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """n_tokens, n_docs: how many documents have each encoded length, end id included."""
-    small_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,7 +29,9 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["n_tokens", "n"])
 
     partial = docs.select("text").mapInArrow(count, "n_tokens long, n long")
-    return partial.groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    # A row for each length; written, since the table of sums reads it more than once.
+    with bounded_batches(docs.sparkSession):
+        return materialize(partial.groupBy("n_tokens").agg(F.sum("n").alias("n_docs")), "lengths")
 
 
 def length_table(histogram: DataFrame) -> DataFrame:
