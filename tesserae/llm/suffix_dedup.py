@@ -14,7 +14,8 @@
 
 Defined results: a null text is an empty one; texts shorter than `length` stay whole; texts of
 at least that length that occur twice go whole; repeated rows are copies of one another; an
-empty table gives no rows; other columns pass through. Matches never cross documents.
+empty table gives no rows; other columns pass through under any name. Matches never cross
+documents.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructType
 
-from tesserae.llm.common import gathered, materialize, small_batches
+from tesserae.llm.common import Scratch, bounded_batches, gathered
 
 LENGTH = 400
 GRAM = 64
@@ -35,6 +38,7 @@ BLOCK_PIECES = 256  # different pieces of a hash that one shard takes
 SHARD_BYTES = 400_000
 SLAB_BYTES = 200_000
 LONG_BYTES = 1_000_000
+SEEN_TEXTS = 200_000
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BYTE_HASH = np.random.default_rng(64).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 
@@ -402,7 +406,7 @@ def _merges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emit_pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """All pieces of texts, each text once in a partition."""
+    """All pieces of texts; copies that lie close together give theirs once."""
     import xxhash
 
     seen: set[bytes] = set()
@@ -428,6 +432,8 @@ def _emit_pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         for tk, text in zip(batch.column("tk").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
             if tk in seen:
                 continue
+            if len(seen) >= SEEN_TEXTS:
+                seen.clear()
             seen.add(tk)
             view = memoryview(text.as_buffer())
             # A long text goes in parts that overlap, so that each window is in one of them.
@@ -495,18 +501,18 @@ def _emit_passages(batches: Iterator[pa.RecordBatch], words: int, length: int) -
                 )
 
 
-def _passage_spans(keyed: DataFrame, words: int, length: int) -> DataFrame:
+def _passage_spans(keyed: DataFrame, words: int, length: int, scratch: Scratch) -> DataFrame:
     """tk, spans: repeated passages of `words` words in fewer than `length` bytes, as spans of `length` bytes.
 
     The last start is the passage's end less `length`, so it lies before the first.
     """
-    passages = materialize(
+    passages = scratch.table(
         keyed.where(F.octet_length("text") >= 2 * words - 1)
         .select("tk", "text")
         .mapInArrow(lambda it: _emit_passages(it, words, length), "tk binary, first int, end int, d1 long, d2 long"),
         "passages",
     )
-    repeated = materialize(passages.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"), "repeated-passages")
+    repeated = scratch.table(passages.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"), "repeated-passages")
     return (
         passages.join(repeated, ["d1", "d2"], "left_semi")
         .select("tk", "first", "end")
@@ -522,40 +528,47 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int | None = No
     docs needs doc_id and text; with words, repeated passages of so many words count whatever
     their bytes. The result is a table in the shared folder.
     """
+    scratch = Scratch(docs.sparkSession)
+    with bounded_batches(docs.sparkSession):
+        out = _spans(docs, length, words, scratch)
+    scratch.drop()
+    return out
+
+
+def _spans(docs: DataFrame, length: int, words: int | None, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs.select("doc_id", "text"))
     long_enough = keyed.where(F.octet_length("text") >= length)
-    texts = materialize(
+    texts = scratch.table(
         long_enough.groupBy("tk").agg(
             F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("bytes")
         ),
         "texts",
     )
-    all_pieces = materialize(
+    all_pieces = scratch.table(
         long_enough.select("tk", "text").mapInArrow(
             lambda it: _emit_pieces(it, length), "tk binary, start int, n int, h long, ph1 long, ph2 long, twice boolean"
         ),
         "pieces",
     ).withColumn("place", F.xxhash64("tk", "start"))
     # Hashes with two places or more, or with a piece that may repeat within itself.
-    shared = materialize(
+    shared = scratch.table(
         all_pieces.groupBy("h")
         .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("twice").alias("twice"))
         .where("a <> b or twice")
         .select("h"),
         "hashes",
     )
-    pieces = materialize(all_pieces.join(shared, "h", "left_semi"), "shared-pieces")
+    pieces = scratch.table(all_pieces.join(shared, "h", "left_semi"), "shared-pieces")
     piece = ["h", "ph1", "ph2"]
-    kinds = materialize(
+    kinds = scratch.table(
         pieces.groupBy(*piece).agg(
             F.min("place").alias("place"), (F.min("place") != F.max("place")).alias("whole"), F.max("twice").alias("twice")
         ),
         "kinds",
     )
-    sizes = materialize(
+    sizes = scratch.table(
         kinds.groupBy("h")
         .agg(F.count("*").alias("kinds"), F.count_if(~F.col("whole")).alias("open"), F.max("twice").alias("twice"))
         .where("(kinds > 1 or twice) and open > 0"),
@@ -580,7 +593,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int | None = No
             "h long, ph1 long, ph2 long, n int, whole boolean, block int, blocks int, bytes binary",
         )
     )
-    sharded = materialize(
+    sharded = scratch.table(
         to_shards.repartition(reducers, "h", "block")
         .sortWithinPartitions("h", "block")
         .mapInArrow(lambda it: _shards(it, length), SHARDED),
@@ -594,7 +607,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int | None = No
     )
     found = sharded.where("spans is not null").unionByName(across).select(*piece, "spans")
     whole = kinds.where("whole").select(*piece, F.lit(None).cast("array<int>").alias("spans"))
-    known = materialize(found.unionByName(whole), "known")
+    known = scratch.table(found.unionByName(whole), "known")
     hits = pieces.join(known, piece).select(
         "tk",
         F.transform(F.coalesce("spans", F.array(F.lit(0), F.col("n") - 1)), lambda x: x + F.col("start")).alias("part"),
@@ -606,9 +619,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int | None = No
     collected = hits.groupBy("tk").agg(F.flatten(F.collect_list("part")).alias("spans")).join(single, "tk", "left_semi")
     spans = collected.unionByName(copies)
     if words:
-        spans = spans.unionByName(_passage_spans(keyed, words, length))
+        spans = spans.unionByName(_passage_spans(keyed, words, length, scratch))
         spans = spans.groupBy("tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return materialize(spans, "spans")
+    return Scratch(spark).table(spans, "spans")
 
 
 def kept_bytes(text: bytes, spans: np.ndarray, length: int) -> tuple[bytes, int, int]:
@@ -628,17 +641,19 @@ def kept_bytes(text: bytes, spans: np.ndarray, length: int) -> tuple[bytes, int,
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
-    """docs with kept (the remaining bytes), n_bytes, n_removed and n_spans."""
+    """row (a document's own columns), kept (the remaining bytes), n_bytes, n_removed, n_spans."""
     spans = repeated_spans(docs, length, words)
-    joined = _keyed(docs).join(spans, "tk", "left").drop("tk")
-    fields = [f for f in joined.schema.fields if f.name != "spans"]
-    names = [f.name for f in fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    rows = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("tk"))
+    joined = rows.join(spans, "tk", "left").select("row", "spans")
+    schema = StructType([joined.schema["row"]])
+    for name, kind in (("kept", BinaryType()), ("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType())):
+        schema.add(name, kind)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, mb=4):
             kept, sizes, removed, runs = [], [], [], []
-            for text, own in zip(batch.column("text").cast(pa.large_binary()), batch.column("spans"), strict=True):
+            texts = pc.fill_null(pc.struct_field(batch.column("row"), "text").cast(pa.large_binary()), b"")
+            for text, own in zip(texts, batch.column("spans"), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 rest, n, k = (raw, 0, 0) if not own.is_valid else kept_bytes(raw, own.values.to_numpy(), length)
                 kept.append(rest)
@@ -646,13 +661,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = No
                 removed.append(n)
                 runs.append(k)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in names), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs))],
-                [*names, "kept", "n_bytes", "n_removed", "n_spans"],
+                [batch.column("row"), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs))],
+                ["row", "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    return joined.select(*names, "spans").mapInArrow(
-        cut, f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long"
-    )
+    return joined.mapInArrow(cut, schema)
+
+
+def _kept_text() -> Column:
+    """The remaining text. A cut may split a character; what is not UTF-8 any more becomes a mark that is dropped."""
+    return F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def clean_texts(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
@@ -662,16 +680,16 @@ def clean_texts(docs: DataFrame, length: int = LENGTH, words: int | None = None)
     """
     cut = remove_repeats(docs, length, words)
     changed = F.col("n_removed") > 0
-    # A cut may split a character; what is not UTF-8 any more becomes a mark that is dropped.
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    out = cut.where(~changed | (F.octet_length("kept") > 0)).withColumn("text", F.when(changed, text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    text = F.when(changed, _kept_text()).otherwise(own["text"])
+    columns = own | {"text": text}
+    if "n_chars" in own:
+        columns["n_chars"] = F.when(changed, F.char_length(text).cast("long")).otherwise(own["n_chars"])
+    return cut.where(~changed | (F.octet_length("kept") > 0)).select(*[c.alias(name) for name, c in columns.items()])
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is left, without split characters)."""
     return remove_repeats(docs.select("doc_id", "text"), length).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+        F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), _kept_text().alias("text")
     )

@@ -123,14 +123,28 @@ def test_empty_documents(spark, sf_dir, tmp_path):
         assert docs.count() == 0
 
 
-def test_model_has_no_limit_of_trusted_documents(spark):
-    docs = spark.range(20_100).selectExpr("id as doc_id", "'en' as lang", "'ab' as text")
-    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
-    assert quality_lm.trusted_counts(docs, labels).groupBy().sum("n").first()[0] == 2 * 20_100
-
-
 def test_model_counts_all_trusted_text(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    n = quality_lm.trusted_counts(docs, labels).groupBy().sum("n").first()[0]
+    n = quality_lm.trusted_counts(quality_lm.slabs(docs), labels).groupBy().sum("n").first()[0]
     trusted = {r["doc_id"] for r in labels.collect()}
     assert n == sum(len(t.encode()) for i, t in enumerate(corpus()) if i in trusted)
+
+
+def test_stages_with_nulls_repeats_and_clashing_names(spark, sf_dir):
+    r = random.Random(7)
+    make = lambda: " ".join("".join(r.choices("abcdefghi", k=5)) for _ in range(60))
+    a, b, c = make(), make(), make()
+    names = ["th", "tk", "node", "kept", "step", "spans", "n_tokens", "epoch", "text_md5", "sid", "row"]
+    rows = [(None, a), (None, b), (5, b + " end"), (5, c), (5, c), (6, None), (7, "")]
+    docs = spark.createDataFrame(
+        [(i, t, None, None, len(t or ""), *names) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names),
+    )
+    columns = docs.columns
+    for name, stage in P.STAGES[:4]:
+        docs = P.materialize(stage(spark, docs, sf_dir), name)
+        assert docs.columns == columns
+        if name == "near_duplicates":
+            got = sorted(((r["doc_id"], r["text"], r["row"]) for r in docs.collect()), key=str)
+            assert got == sorted([(None, a, "row"), (5, b + " end", "row"), (5, c, "row"), (6, None, "row"), (7, "", "row")], key=str)
+    assert P.STAGES[4][1](spark, docs, sf_dir).count() >= 3

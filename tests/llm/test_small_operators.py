@@ -128,6 +128,31 @@ def test_telephony(docs, empty):
     assert telephony.digest(telephony.store(empty)).count() == 0
 
 
+def test_stored_sound(docs):
+    stored = telephony.store(docs)
+    assert stored.inputFiles()
+    pcm = telephony.store_pcm(stored)
+    assert pcm.inputFiles()
+    sound = {r["doc_id"]: r for r in pcm.collect()}
+    for r in stored.join(telephony.digest(stored).select("doc_id", "feature"), "doc_id").collect():
+        codec, payload = telephony.read_wav(bytes(r["media"]))
+        raw = np.frombuffer(payload, np.uint8)
+        if codec == "adpcm":
+            plain = telephony.decode_adpcm(raw.reshape(-1, 192)).ravel()
+        else:
+            plain = np.array([int(telephony.TABLES[codec][b]) for b in raw], np.int16)
+        got = np.frombuffer(sound[r["doc_id"]]["pcm"], "<i2")
+        assert (got[::2] == plain).all() and len(got) == 2 * len(plain)
+        wide = np.pad(plain.astype(np.int64), (3, 4), mode="edge")
+        between = [(int(wide[k : k + 8] @ telephony.HALF) + 8192) >> 14 for k in range(len(plain))]
+        assert got[1::2].tolist() == np.clip(between, -32768, 32767).tolist()
+        values = [int(x) for x in got]
+        rms = int((sum(x * x for x in values) // len(values)) ** 0.5)
+        turns = sum((a < 0) != (b < 0) for a, b in zip(values, values[1:]))
+        want = f"{codec}:16000:{len(values)}:{rms}:{turns}:{zlib.crc32(got.tobytes()):08x}"
+        assert r["feature"] == want and sound[r["doc_id"]]["rate"] == 16000
+
+
 def test_codecs():
     for codec in telephony.CODECS:
         payload = bytes(range(192))
@@ -197,11 +222,14 @@ def test_plan_on_counts_equals_single_items():
 
 def test_elias_fano_code():
     r = np.random.default_rng(3)
-    for n, top in ((0, 1), (1, 0), (5, 3), (1000, 10), (1000, 10**9), (130, 4096)):
+    for n, top in ((0, 1), (1, 0), (5, 3), (1000, 10), (1000, 10**9), (130, 4096), (3, 2**62), (70, 2**61)):
         values = np.sort(r.integers(0, top + 1, n))
         code = elias_fano.EliasFano.from_bytes(elias_fano.EliasFano.encode(values).to_bytes())
-        assert code.values().tolist() == values.tolist()
-        assert [code.select(i) for i in range(n)] == values.tolist()
+        assert code.select(np.arange(n)).tolist() == values.tolist()
+        some = r.integers(0, n, 9) if n else np.zeros(0, np.int64)
+        assert code.select(some).tolist() == values[some].tolist()
+        with pytest.raises(IndexError):
+            code.select(np.array([n]))
     dense = np.arange(0, 64_000_000, 1000)
     assert len(elias_fano.EliasFano.encode(dense).to_bytes()) * 8 < len(dense) * 14
 
@@ -216,6 +244,18 @@ def test_elias_fano_documents(docs, empty, monkeypatch):
     assert elias_fano.read_documents(elias_fano.write_segments(empty)).count() == 0
 
 
+def test_elias_fano_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(elias_fano, "SEGMENT_IDS", 6)
+    ids = [None, None, None, 5, 5, 5, -9, 2**62, -(2**62) - 5, 7]
+    docs = spark.createDataFrame([(i, f"the word {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    segments = elias_fano.write_segments(docs)
+    assert not any("array" in kind for _, kind in segments.dtypes)
+    rows = sorted(elias_fano.read_documents(segments).collect(), key=lambda r: r["start"])
+    known = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+    assert [r["doc_id"] for r in rows][:3] == [None] * 3 and known == sorted(i for i in ids if i is not None)
+    assert [r["start"] for r in rows] == np.cumsum([0, *[r["n_tokens"] for r in rows]])[:-1].tolist()
+
+
 def test_lengths(docs, empty):
     lengths = [len(x) for x in reference_ids()]
     table = length_stats.length_table(length_stats.length_histogram(docs))
@@ -247,6 +287,22 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty, weights).count() == 0
 
 
+def test_mixing_of_repeated_and_null_ids(spark):
+    rows = [(None, f"word number {k}", "en", "s") for k in range(40)] + [(3, "a b", "en", "s"), (3, "c d e", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    first = sorted(map(tuple, mixing.mix(docs, {}, 50, 1).collect()), key=str)
+    again = sorted(map(tuple, mixing.mix(docs.repartition(7), {}, 50, 1).collect()), key=str)
+    assert first == again and 0 < sum(r[4] for r in first) <= 62
+    budget, plain = 125 // 2, []
+    key = lambda r: hashlib.md5(f"6/0/{'' if r[0] is None else r[0]}/{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()
+    upto = 0
+    for r in sorted(rows, key=key):
+        upto += len(r[1].split())
+        if upto <= budget:
+            plain.append(r[:2])
+    assert sorted(((r["doc_id"], r["text"]) for r in mixing.chosen(docs, {}, 50).collect()), key=str) == sorted(plain, key=str)
+
+
 def test_budget_tree(spark):
     leaves = spark.createDataFrame(
         [("d", "en", "a", 10), ("d", "en", "b", 1000), ("d", "fr", "c", 1000), ("e", "en", "f", 100)],
@@ -259,11 +315,108 @@ def test_budget_tree(spark):
     assert {r["source"]: r["budget"] for r in got} == {"a": 10, "b": 340, "c": 350, "f": 100}
 
 
-def test_kneser_ney_sums_to_one():
-    codes, lengths = quality_lm.ngram_codes([b"some text of words", b"", b"more, words."])
-    assert lengths.tolist() == [18, 0, 12] and len(codes) == 30
-    logs = quality_lm.kneser_ney(np.bincount(codes, minlength=64**3))
-    assert np.allclose(np.exp(logs.astype(float)).reshape(-1, 64).sum(axis=1), 1, atol=1e-4)
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney of order 5, symbol by symbol."""
+
+    def __init__(self, texts):
+        grams = [g for t in texts for g in self.grams(t)]
+        self.counts = {5: Counter(grams)}
+        for k in (4, 3, 2, 1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.discounts, self.all, self.held = {}, {}, {}
+        for k, counts in self.counts.items():
+            n = [sum(c == j for c in counts.values()) for j in range(1, 5)]
+            d = [0.5, 0.75, 0.9]
+            if all(n[:3]):
+                y = n[0] / (n[0] + 2 * n[1])
+                d = [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j) for j in (1, 2, 3)]
+            self.discounts[k] = d
+            self.all[k], self.held[k] = Counter(), Counter()
+            for g, c in counts.items():
+                self.all[k][g[:-1]] += c
+                self.held[k][g[:-1]] += d[min(c, 3) - 1]
+
+    @staticmethod
+    def grams(text):
+        symbols = [0] * 4 + [int(quality_lm.SYMBOL[b]) for b in text.encode()]
+        return [tuple(symbols[i : i + 5]) for i in range(len(symbols) - 4)]
+
+    def p(self, gram):
+        k = len(gram)
+        below = self.p(gram[1:]) if k > 1 else 1 / 64
+        total = self.all[k][gram[:-1]]
+        if not total:
+            return below
+        c = self.counts[k][gram]
+        own = max(c - self.discounts[k][min(c, 3) - 1], 0) if c else 0
+        return own / total + self.held[k][gram[:-1]] / total * below
+
+    def loss(self, text, mean=None):
+        losses = [-np.log(self.p(g)) for g in self.grams(text)]
+        return sum(losses) if mean is None else (sum(losses) + 60 * mean) / (len(losses) + 60)
+
+
+def test_quality_against_a_plain_model_in_150_languages(spark, monkeypatch):
+    monkeypatch.setattr(quality_lm, "SLAB_SYMBOLS", 3000)
+    monkeypatch.setattr(quality_lm, "STEP_SYMBOLS", 500)
+    r = random.Random(4)
+    alphabet = ["".join(r.sample("abcdefghijklmnop é.,", 7)) for _ in range(150)]
+    rows, labels = [], []
+    for i in range(900):
+        lang = i % 150
+        text = None if i == 7 else "".join(r.choices(alphabet[lang], k=r.randint(0, 40)))
+        rows.append((i, text, None if lang == 149 else f"l{lang}"))
+        if i < 450 and lang != 148:
+            labels.append((i, 1, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in quality_lm.scores(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    own, trusted = {}, {i for i, _, _ in labels}
+    for i, text, lang in rows:
+        if i in trusted:
+            own.setdefault(lang or "", []).append(text or "")
+    own[""] = [t for texts in list(own.values()) for t in texts]
+    models = {lang: PlainKneserNey(texts) for lang, texts in own.items()}
+    means = {x: sum(m.loss(t) for t in own[x]) / sum(len(t.encode()) for t in own[x]) for x, m in models.items()}
+    assert len(models) == 149
+    for i, text, lang in rows:
+        shard = lang if lang in models else ""
+        assert got[i]["shard"] == shard and got[i]["n_symbols"] == len((text or "").encode())
+        want = models[shard].loss(text or "", means[shard])
+        assert abs(got[i]["step"] - 1000 * want) <= 0.5 + 1e-6
+
+
+def test_probabilities_equal_a_plain_model(spark):
+    from tesserae.llm.common import Scratch
+
+    texts = ["some text of words", "", "more, words.", "some more text", "wordy words of text"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    scratch = Scratch(spark)
+    counts = scratch.table(quality_lm.trusted_counts(scratch.table(quality_lm.slabs(docs), "slabs"), labels), "counts")
+    seen = [0] + [int(quality_lm.SYMBOL[b]) for b in b"wtx"]
+    asked = [(a, b, c, d, e) for a in seen for b in seen for c in seen for d in seen for e in range(64)]
+    code = lambda g: sum(s << 6 * (4 - k) for k, s in enumerate(g))
+    wanted = spark.createDataFrame([("en", code(g)) for g in asked], "lang string, gram long")
+    p = {r["gram"]: r["p"] for r in quality_lm.probabilities(wanted, quality_lm.orders(counts, scratch), scratch).collect()}
+    plain = PlainKneserNey(texts)
+    assert max(abs(p[code(g)] - plain.p(g)) for g in asked) < 1e-12
+    sums = Counter()
+    for g in asked:
+        sums[g[:-1]] += p[code(g)]
+    assert max(abs(x - 1) for x in sums.values()) < 1e-9
+
+
+def test_repeated_words_and_clashing_columns(spark):
+    r = random.Random(3)
+    syllables = ["the", "of", "an", "er", "on", "ti", "re"]
+    clean = [" ".join("".join(r.choices(syllables, k=r.randint(1, 3))) for _ in range(60)) for _ in range(300)]
+    rows = [(i, t, "en", 1, 2, 3) for i, t in enumerate(clean)] + [(300, "zqx " * 90, "en", 1, 2, 3), (None, "#$%&" * 50, "en", 1, 2, 3), (None, clean[0], "en", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _shard int, step int, th int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    stay = quality_lm.filter_quality(docs, labels)
+    got = [(r["doc_id"], r["text"]) for r in stay.collect()]
+    assert stay.columns == docs.columns and (None, clean[0]) in got
+    assert (300, "zqx " * 90) not in got and (None, "#$%&" * 50) not in got and len(got) >= 298
 
 
 def test_quality(spark, empty):
@@ -274,6 +427,8 @@ def test_quality(spark, empty):
     noise = ["".join(chr(r.randint(33, 126)) for _ in range(300)) for _ in range(20)]
     rows = [(i, t, [None, "en", "xx"][i % 3], "extra") for i, t in enumerate([*clean, *noise, None, ""])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, perplexity string")
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"]: r["kept"] for r in quality_lm.judge(docs, labels).collect()}
     assert sum(kept[i] for i in range(300)) >= 297
