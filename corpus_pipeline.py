@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. run() writes every stage as a Parquet table in the shared folder and
 reads it again as the next one's documents.
+
+Defined results of every stage: null and empty texts stay until packing, where they are the end
+id alone; rows with one doc_id and different texts are documents of their own; of rows equal in
+doc_id and text near_duplicates keeps one; an empty table gives an empty one; further columns,
+whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -36,8 +41,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents chosen to the tree's target weights."""
-    chosen = mixing.mix(docs, mixing.QUERY_WEIGHTS, MIX_PERCENT, max_epochs=1)
-    return docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return mixing.chosen(docs, mixing.QUERY_WEIGHTS, MIX_PERCENT)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
