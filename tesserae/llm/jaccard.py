@@ -1,16 +1,18 @@
 """Near-duplicate components of documents by Jaccard similarity of word shingles.
 
-1. Equal shingle sets are one node. All shingles have a common order: rare ones first, by a
-   counting sketch over all documents, then by hash. Two sets similar enough share one of the
-   first n - ceil(percent * n / 100) + 1 shingles of either (n: its size), whatever the order,
-   so the nodes that have a shingle among their first ones form a group and no pair is missed.
-   Groups of the same nodes are one.
+1. Equal shingle sets are one node. Nodes are grouped by MinHash bands, whose number makes a
+   missed pair at the threshold as unlikely as 1e-10, or, with exact=True, so that none can be
+   missed: all shingles have a common order, rare ones first, by a counting sketch over all
+   documents, then by hash. Two sets similar enough share one of the first
+   n - ceil(percent * n / 100) + 1 shingles of either (n: its size), whatever the order, so
+   nodes of like size that have a shingle among their first ones form a group. That takes more
+   disk where many documents share passages. Groups of the same nodes are one.
 2. Signature trees (their nodes hold OR-combined token bitmaps and size ranges) find the pairs:
    the tree of a group's first node is traversed against trees of the others, node pairs whose
-   largest possible overlap is too small are pruned, and what is left is compared exactly.
-   The links give first components. Most groups are then of one component and are done.
-3. In the other groups the trees of the members are traversed against each other, in size
-   classes and blocks; document pairs of one component are skipped.
+   largest possible overlap is too small are pruned, and what is left is compared exactly where
+   it is found. The links give first components; many groups are then of one and are done.
+3. In the other groups the trees of the members are traversed against each other, block by
+   block; document pairs of one component are skipped.
 
 Defined results: null and blank texts have an empty set and link with nothing; fewer words
 than a shingle has form one shingle; repeated rows and equal texts link; documents with one
@@ -34,11 +36,13 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import Scratch, bounded_batches, gathered, text_or_empty
 from tesserae.llm.components import components
 
+MISS = 1e-10
 BITS = 4096
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
 FANOUT = 8
-SKETCH_BITS = 20  # the sketch has 2 ** 20 cells, at any size of the corpus
-CHUNK = 1 << 12
+SKETCH_BITS = 22  # the sketch has 2 ** 22 cells, at any size of the corpus
+CHUNK = 1 << 14
 _RANDOM = np.random.default_rng(85)
 _MIX = _RANDOM.integers(1, 1 << 63, 16, np.uint64) | np.uint64(1)
 _WORD_SALT = _RANDOM.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
@@ -94,6 +98,30 @@ def _name(shingles: np.ndarray) -> bytes:
     return one.sum(dtype=np.uint64).tobytes() + two.sum(dtype=np.uint64).tobytes()
 
 
+def bands_for(percent: int) -> tuple[int, int]:
+    """Rows and number of bands: a pair at the threshold stays apart with probability MISS."""
+    rows = 5 if percent >= 85 else 4
+    return rows, math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** rows))
+
+
+def band_keys(shingles: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """One 64-bit key for each band of MinHash values; each value has an offset and a factor of its own."""
+    random = np.random.default_rng(7)
+    offsets = random.integers(0, 1 << 32, (rows * bands, 1), np.uint32)
+    factors = random.integers(0, 1 << 32, (rows * bands, 1), np.uint32) | np.uint32(1)
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(rows * bands, np.uint32(0xFFFFFFFF))
+    for a in range(0, len(low), 512):
+        part = low[None, a : a + 512] ^ offsets
+        part *= factors
+        np.minimum(least, part.min(axis=1), out=least)
+    wide = least.reshape(bands, rows).astype(np.uint64)
+    key = np.arange(bands, dtype=np.uint64) * _MIX[4]
+    for k in range(rows):
+        key = _mixed(key ^ wide[:, k], 5)
+    return key.view(np.int64)
+
+
 def sketch_cells(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -173,16 +201,17 @@ def traverse(one: SignatureTree, other: SignatureTree, percent: int) -> tuple[np
             lb -= 1
 
 
-def _describe(docs: DataFrame, width: int) -> DataFrame:
+def _describe(docs: DataFrame, width: int, sketch: bool) -> DataFrame:
     """Each document's set by size and 128-bit name; rows with a chunk hold a partition's sketch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
+        cells = np.zeros(1 << SKETCH_BITS if sketch else CHUNK, np.uint32)
         for batch in gathered(batches, mb=4):
             sets = shingle_sets(text_or_empty(batch), width)
             joined = np.concatenate(sets)
-            if len(joined):
-                cells += np.bincount(sketch_cells(joined), minlength=len(cells))
+            if sketch and len(joined):
+                some, n = np.unique(sketch_cells(joined), return_counts=True)
+                cells[some] += n.astype(np.uint32)
             names = [_name(s) if len(s) else None for s in sets]
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
@@ -205,7 +234,7 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _levels(described: DataFrame) -> np.ndarray:
-    """How common a cell's shingles are in all documents: four levels to a doubling."""
+    """How common a cell's shingles are in all documents: 64 levels to a doubling."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sums = None, np.zeros(CHUNK, np.int64)
@@ -220,7 +249,7 @@ def _levels(described: DataFrame) -> np.ndarray:
         if last is not None:
             yield row()
 
-    # 2 ** SKETCH_BITS numbers come to the driver and go to the tasks as a byte each.
+    # 2 ** SKETCH_BITS numbers come to the driver and go to the tasks as two bytes each.
     rows = (
         described.where("chunk is not null").select("chunk", "cells").repartition("chunk").sortWithinPartitions("chunk")
         .mapInArrow(total, "chunk int, cells binary").collect()
@@ -228,11 +257,12 @@ def _levels(described: DataFrame) -> np.ndarray:
     counts = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, np.int64)
     for r in rows:
         counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["cells"], np.int64)
-    return np.ceil(4 * np.log2(counts + 1)).astype(np.uint8)
+    return np.ceil(64 * np.log2(counts + 1)).astype(np.uint16)
 
 
-def _first_keys(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """sid, n_shingles, keys: each set's first shingles; a set may come several times."""
+def _keys(docs: DataFrame, width: int, percent: int, levels: np.ndarray | None) -> DataFrame:
+    """sid, n_shingles, keys: each set's bands, or with levels its first shingles; a set may come several times."""
+    bands = bands_for(percent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: set[int] = set()
@@ -247,7 +277,8 @@ def _first_keys(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -
             sets = [s for s in shingle_sets(text_or_empty(batch).take(pa.array(new, pa.int64())), width) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_name(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([first_shingles(s, levels, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                 pa.array([band_keys(s, *bands) if levels is None else first_shingles(s, levels, percent).view(np.int64) for s in sets],
+                          pa.list_(pa.int64()))],
                 ["sid", "n_shingles", "keys"],
             )
 
@@ -269,93 +300,151 @@ def _whole_sets(chosen: DataFrame, width: int) -> DataFrame:
     return chosen.select("node", "text").mapInArrow(scan, "node long, n_shingles long, bits binary, shingles binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes that are similar enough, from their whole sets."""
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    need = percent * (len(p) + len(q))
+    if (100 + percent) * min(len(p), len(q)) < need:
+        return False
+    spot = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    return (100 + percent) * int(np.count_nonzero(q[spot] == p)) >= need
+
+
+def _tree(rows: list[dict]) -> SignatureTree:
+    return SignatureTree(np.array([r["n_shingles"] for r in rows]), np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1))
+
+
+def open_pairs(held: list[dict], percent: int) -> Iterator[tuple[dict, dict]]:
+    """Pairs of a block with different labels that the trees leave over, closest bitmaps first."""
+    queries, targets = [r for r in held if r["query"]], [r for r in held if not r["query"]]
+    if not queries:
+        return
+    mine = _tree(queries)
+    for rows, other in ((targets, _tree(targets) if targets else None), (queries, mine if held[0]["inner"] else None)):
+        if other is None:
+            continue
+        i, j = traverse(mine, other, percent)
+        differ = np.array([r["label"] for r in queries])[i] != np.array([r["label"] for r in rows])[j]
+        i, j = i[differ], j[differ]
+        one, two = (t.levels[0][0][np.argsort(t.order)] for t in (mine, other))
+        parts = range(0, len(i), 4096)
+        shared = [np.bitwise_count(one[i[k : k + 4096]] & two[j[k : k + 4096]]).sum(axis=1, dtype=np.int64) for k in parts]
+        for k in np.argsort(-np.concatenate([*shared, np.zeros(0, np.int64)]), kind="stable").tolist():
+            yield queries[i[k]], rows[j[k]]
+
+
+def links_of_block(held: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links that join a block's labels as far as any do; pairs of joined labels are skipped."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    sets = {r["node"]: np.frombuffer(r["shingles"], np.uint64) for r in held}
+    out = []
+    for x, y in open_pairs(held, percent):
+        a, b = find(x["label"]), find(y["label"])
+        if a != b and linked(sets[x["node"]], sets[y["node"]], percent):
+            root[max(a, b)] = min(a, b)
+            out.append((max(x["node"], y["node"]), min(x["node"], y["node"])))
+    return out
+
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, mb=4):
-            left, right = batch.column("set_a"), batch.column("set_b")
-            linked = []
-            for x, y in zip(left, right, strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                need = percent * (len(p) + len(q))
-                if (100 + percent) * min(len(p), len(q)) < need:
-                    linked.append(False)
-                    continue
-                spot = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                linked.append((100 + percent) * int(np.count_nonzero(q[spot] == p)) >= need)
-            yield batch.select(["a", "b"]).filter(pa.array(linked))
-
-    whole = sets.select("node", "shingles")
-    first = pairs.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-    # The b side may be a hot node; its set is joined from a table so that AQE can split it.
-    both = first.join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
-
-
-def _by_trees(rows: DataFrame, percent: int, reducers: int) -> DataFrame:
-    """Pairs of different labels in the blocks of a group that the trees leave over."""
-
-    def solve(held: list[dict]) -> pa.RecordBatch:
-        queries = [r for r in held if r["query"]]
-        targets = [r for r in held if not r["query"]]
-        found: set[tuple[int, int]] = set()
-
-        def tree(own: list[dict]) -> SignatureTree:
-            return SignatureTree(
-                np.array([r["n_shingles"] for r in own]), np.frombuffer(b"".join(r["bits"] for r in own), np.uint8).reshape(len(own), -1)
-            )
-
-        def meet(x: list[dict], y: list[dict]) -> None:
-            if x and y:
-                for i, j in zip(*(p.tolist() for p in traverse(tree(x), tree(y), percent)), strict=True):
-                    if x[i]["label"] != y[j]["label"]:
-                        found.add((max(x[i]["node"], y[j]["node"]), min(x[i]["node"], y[j]["node"])))
-
-        meet(queries, targets)
-        if held[0]["inner"]:
-            meet(queries, queries)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"]
-        )
+AT = ["key", "i", "j", "inner"]
+PLACED = "key long, i int, j int, inner boolean, node long, label long, query boolean"
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(row[k] != held[0][k] for k in AT):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _by_trees(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links a, b between different labels in blocks (key, i, j, inner) of queries and targets.
+
+    First the trees alone tell which nodes of a block are in a pair that they leave over; only
+    these nodes' whole sets follow into their blocks.
+    """
+    names = [c.split()[0] for c in PLACED.split(", ")]
+    reducers = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_()]
+        for held in _by_block(batches):
+            own = {r["node"]: r for pair in open_pairs(held, percent) for r in pair}.values()
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in own], k) for c, k in zip(names, kinds, strict=True)], names)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_block(batches):
+            found = links_of_block(held, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def dealt(some: DataFrame, *columns: str) -> DataFrame:
+        return some.join(sets.select("node", *columns), "node").select(*names, *columns).repartition(reducers, *AT).sortWithinPartitions(*AT)
+
+    left = scratch.table(dealt(rows, "n_shingles", "bits").mapInArrow(leave, PLACED), "open")
+    return dealt(left, "n_shingles", "bits", "shingles").mapInArrow(solve, "a long, b long").distinct()
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and any(row[k] != held[0][k] for k in ("key", "size_class", "i", "j", "inner")):
-                    yield solve(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield solve(held)
 
-    at = ["key", "size_class", "i", "j", "inner"]
-    return rows.repartition(reducers, *at).sortWithinPartitions(*at).mapInArrow(stream, "a long, b long")
+def _n_blocks(nodes: str, shingles: str) -> Column:
+    """Blocks of at most about BLOCK nodes and BLOCK_SHINGLES shingles."""
+    return F.greatest(F.ceil(F.col(nodes) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
+def _members(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, node, leader: groups of nodes that have a key.
+
+    Groups of the same nodes have the same count and checksums; one of them stands for all.
+    """
+    counted = placed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("node").alias("leader"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    )
+    groups = scratch.table(counted.where("n > 1").groupBy("n", "x", "y", "leader").agg(F.min("key").alias("key")).select("key", "leader"), "groups")
+    return scratch.table(placed.join(groups, "key").select("key", "node", "leader"), "members")
+
+
+def _by_size(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """node and key: its shared first shingles, each with its size class and the next one.
+
+    Sets similar enough differ by one size class at most.
+    """
+    keyed = nodes.select("node", "n_shingles", F.explode("keys").alias("shingle"))
+    shared = scratch.table(keyed.groupBy("shingle").count().where("count > 1").select("shingle"), "shared")
+    own_class = F.floor(F.log("n_shingles") / math.log(100 / percent) - 1e-9).cast("int")
+    return scratch.table(
+        keyed.join(shared, "shingle").select("node", "shingle", own_class.alias("own"))
+        .select("node", F.explode(F.array("own", F.col("own") + 1)).alias("class"), "shingle")
+        .select("node", F.xxhash64("shingle", "class").alias("key")),
+        "placed",
+    )
 def _stars(stars: DataFrame, sets: DataFrame) -> DataFrame:
     """Blocks of the nodes that meet a group's first node (leader), each with that node as its query."""
-    counts = stars.groupBy("leader").count().select(F.col("leader").alias("key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    counts = (
+        stars.join(sets.select("node", "n_shingles"), "node").groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+        .select(F.col("leader").alias("key"), _n_blocks("n", "size").alias("blocks"))
+    )
     own = stars.join(counts, F.col("leader") == F.col("key")).select(
-        "key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("j"), "node", F.lit(False).alias("query")
+        "key", "node", F.lit(False).alias("query"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("j")
     )
-    queries = counts.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("key").alias("node"), F.lit(True).alias("query"))
-    return (
-        own.unionByName(queries)
-        .join(sets.select("node", "n_shingles", "bits"), "node")
-        .select(
-            "key", F.lit(0).alias("size_class"), "node", F.col("node").alias("label"), "n_shingles", "bits", "query",
-            F.lit(0).alias("i"), "j", F.lit(False).alias("inner"),
-        )
-    )
+    queries = counts.select("key", F.col("key").alias("node"), F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    return own.unionByName(queries).select("key", "node", F.col("node").alias("label"), "query", F.lit(0).alias("i"), "j", F.lit(False).alias("inner"))
 
 
-def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Members of groups with several components, in size classes and blocks.
+def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of groups with several components, in blocks.
 
     A group's members outside the component of its first node are queries; the others are
-    only targets. Query blocks meet every target block and each other.
+    only targets. Query blocks meet every target block and each other. All pairs of a group of
+    two are known from the stars.
     """
     named = labels.select("node", "component")
     labelled = scratch.table(
@@ -364,87 +453,68 @@ def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     )
     mixed = scratch.table(
         labelled.groupBy("key")
-        .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("node") == F.col("leader"), F.col("label"))).alias("first_label"))
-        .where("x <> y")
+        .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.max(F.when(F.col("node") == F.col("leader"), F.col("label"))).alias("first_label"))
+        .where("x <> y and n > 2")
         .select("key", "first_label"),
         "mixed",
     )
     sized = scratch.table(
         labelled.join(mixed, "key")
         .withColumn("query", F.col("label") != F.col("first_label"))
-        .join(sets.select("node", "n_shingles", "bits"), "node")
-        .withColumn("own_class", F.floor(F.log("n_shingles") / math.log(100 / percent) - 1e-9).cast("int"))
-        .withColumn("size_class", F.explode(F.array("own_class", F.col("own_class") + 1)))
-        .select("key", "size_class", "node", "label", "n_shingles", "bits", "query"),
+        .join(sets.select("node", "n_shingles"), "node")
+        .select("key", "node", "label", "n_shingles", "query"),
         "sized",
     )
+    size = lambda own: F.coalesce(F.sum(F.when(own, F.col("n_shingles"))), F.lit(0))
     counts = scratch.table(
-        sized.groupBy("key", "size_class")
-        .agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("t"))
-        .where("q > 0 and q + t > 1"),
+        sized.groupBy("key")
+        .agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("t"), size(F.col("query")).alias("qs"), size(~F.col("query")).alias("ts"))
+        .select("key", "q", "t", _n_blocks("q", "qs").alias("nq"), F.greatest(F.lit(1), _n_blocks("t", "ts")).alias("nt")),
         "counts",
     )
-    nq, nt = F.ceil(F.col("q") / BLOCK).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("t") / BLOCK)).cast("int")
-    joined = sized.join(counts, ["key", "size_class"]).withColumn(
-        "own", F.pmod(F.xxhash64("node"), F.when(F.col("query"), nq).otherwise(nt)).cast("int")
-    )
-    keep = ["key", "size_class", "node", "label", "n_shingles", "bits"]
-    targets = joined.where(~F.col("query")).select(
-        *keep, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("i"), F.col("own").alias("j"), F.lit(False).alias("inner")
-    )
-    against_targets = joined.where("query and t > 0").select(
-        *keep, F.lit(True).alias("query"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), nt - 1)).alias("j"), F.lit(False).alias("inner")
-    )
-    among_queries = joined.where("query and q > 1").select(
-        *keep, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("_other"), F.col("own"), F.lit(True).alias("inner")
-    )
-    among_queries = among_queries.select(
-        *keep, "query", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "inner"
-    )
+    joined = sized.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("query"), F.col("nq")).otherwise(F.col("nt"))).cast("int"))
+    keep = ["key", "node", "label", "query"]
+    all_q, all_t = F.explode(F.sequence(F.lit(0), F.col("nq") - 1)), F.explode(F.sequence(F.lit(0), F.col("nt") - 1))
+    targets = joined.where(~F.col("query")).select(*keep, all_q.alias("i"), F.col("own").alias("j"), F.lit(False).alias("inner"))
+    against_targets = joined.where("query and t > 0").select(*keep, F.col("own").alias("i"), all_t.alias("j"), F.lit(False).alias("inner"))
+    among_queries = joined.where("query and q > 1").select(*keep, "own", all_q.alias("_other"))
+    among_queries = among_queries.select(*keep, F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), F.lit(True).alias("inner"))
     return targets.unionByName(against_targets).unionByName(among_queries)
 
 
-def classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def classified(docs: DataFrame, width: int, percent: int, exact: bool = False) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component (null: an empty set), component_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with bounded_batches(spark):
-        described = scratch.table(_describe(docs, width), "described")
-        levels = _levels(described)
+        described = scratch.table(_describe(docs, width, exact), "described")
+        levels = _levels(described) if exact else None
         rows = described.where("chunk is null").drop("chunk", "cells")
-        # One row for each distinct set, with the smallest doc_id and one document that has it.
-        names = rows.where("sid is not null").groupBy("sid").agg(
-            F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("one")
-        )
+        # Of each distinct set the smallest doc_id, and the document that has it in the fewest rows.
+        documents = rows.where("sid is not null").groupBy("sid", "doc_id", "th").agg(F.count("*").alias("copies"))
+        names = documents.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("copies", "doc_id", "th")).alias("one"))
         nodes = scratch.table(
-            _first_keys(docs, width, percent, levels)
+            _keys(docs, width, percent, levels)
             .groupBy("sid").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
             .withColumn("node", F.monotonically_increasing_id()),
             "nodes",
         )
         named = scratch.table(nodes.select("sid", "node").join(names, "sid"), "names")
-        keyed = nodes.select("node", F.explode("keys").alias("key"))
-        shared = keyed.groupBy("key").agg(
-            F.count("*").alias("n"), F.min("node").alias("leader"),
-            F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
-        )
-        # Shingles of the same nodes have the same count and checksums; one of them stands for all.
-        groups = scratch.table(
-            shared.where("n > 1").groupBy("n", "x", "y", "leader").agg(F.min("key").alias("key")).select("key", "leader"), "groups"
-        )
-        members = scratch.table(keyed.join(groups, "key").select("key", "node", "leader"), "members")
-        wanted = members.select("node").distinct().join(named, "node").select("node", "one.doc_id", "one.th")
+        placed = _by_size(nodes, percent, scratch) if exact else nodes.select("node", F.explode("keys").alias("key"))
+        members = _members(placed, scratch)
+        wanted = members.select("node").distinct().join(named, "node").select("node", "one.*")
+        # Texts are dealt by doc_id at any size: the number of wanted nodes grows with the input.
         chosen = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("d").join(
-            wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))
+            wanted.hint("merge").alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))
         )
-        sets = scratch.table(_whole_sets(chosen, width).dropDuplicates(["node"]), "sets")
+        sets = _whole_sets(chosen, width)
+        if named.where("one.copies > 1").limit(1).count():  # rows equal in doc_id and text
+            sets = sets.dropDuplicates(["node"])
+        sets = scratch.table(sets, "sets")
         stars = scratch.table(members.where("node <> leader").select("leader", "node").distinct(), "stars")
-        close = _by_trees(_stars(stars, sets), percent, reducers)
-        links = scratch.table(_verified(close, sets, percent), "links")
+        links = scratch.table(_by_trees(_stars(stars, sets), sets, percent, scratch), "links")
         labels = components(links, scratch)
-        rest = _by_trees(_blocks(members, labels, sets, percent, scratch), percent, reducers).distinct()
-        more = scratch.table(_verified(rest, sets, percent), "more-links")
+        more = scratch.table(_by_trees(_blocks(members, labels, sets, scratch), sets, percent, scratch), "more-links")
         final = components(links.unionByName(more), scratch) if more.limit(1).count() else labels
         reached = scratch.table(
             named.join(final, "node", "left").select("sid", "first_id", F.coalesce("component", "node").alias("component")), "reached"
@@ -458,9 +528,9 @@ def classified(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that a document reaches by links."""
-    found = classified(docs, width, percent)
+    found = classified(docs, width, percent, exact)
     return found.select(
         "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )

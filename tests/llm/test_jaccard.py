@@ -55,21 +55,21 @@ def corpus(seed=2):
     return texts
 
 
-@pytest.mark.parametrize("width,percent,block", [(4, 85, 256), (5, 80, 8)])
-def test_against_brute_force(spark, monkeypatch, width, percent, block):
+@pytest.mark.parametrize("width,percent,block,exact", [(4, 85, 256, False), (5, 80, 8, False), (4, 85, 8, True)])
+def test_against_brute_force(spark, monkeypatch, width, percent, block, exact):
     monkeypatch.setattr(J, "BLOCK", block)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, node string")
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(conf)
-    got = sorted(tuple(r) for r in J.near_duplicates(docs, width, percent).collect())
+    got = sorted(tuple(r) for r in J.near_duplicates(docs, width, percent, exact).collect())
     assert got == brute(texts, width, percent)
     assert spark.conf.get(conf) == before
 
 
 def test_first_shingles_of_similar_sets_meet():
     r = np.random.default_rng(6)
-    levels = r.integers(0, 9, 1 << J.SKETCH_BITS).astype(np.uint8)
+    levels = r.integers(0, 9, 1 << J.SKETCH_BITS).astype(np.uint16)
     for _ in range(300):
         pool = r.integers(0, 1 << 63, int(r.integers(1, 60)), np.uint64) * np.uint64(2)
         a, b = (np.unique(pool[r.random(len(pool)) < 0.93]) for _ in range(2))
@@ -116,7 +116,8 @@ def test_common_shingles_keep_links(spark):
         texts.append(" ".join(w))
     texts += [" ".join(r.choices(words, k=r.randint(5, 40)) + passage + r.choices(words, k=r.randint(0, 9))) for _ in range(120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(tuple(r) for r in J.near_duplicates(docs).collect()) == brute(texts, 4, 85)
+    for exact in (False, True):
+        assert sorted(tuple(r) for r in J.near_duplicates(docs, exact=exact).collect()) == brute(texts, 4, 85)
 
 
 def test_trees_lose_no_pair():

@@ -64,6 +64,21 @@ def test_encoder_is_exact_across_batches():
         assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want[a : a + 7]
 
 
+def test_gathered_batches_hold_all_rows():
+    from tesserae.llm.common import gathered, text_or_empty
+    from tesserae.llm.jaccard import shingle_sets
+
+    r = random.Random(2)
+    words = ["é", "Aß", "word", "x" * 300]
+    want = [None if k % 50 == 7 else " ".join(r.choices(words, k=r.randint(0, 90))) for k in range(700)]
+    batches = [pa.record_batch({"text": pa.array(want[a:b], pa.string())}) for a, b in ((0, 3), (3, 600), (600, 600), (600, 700))]
+    parts = list(gathered(iter(batches), mb=1))
+    assert len(parts) > 1 and [t for p in parts for t in p.column("text").to_pylist()] == want
+    whole = shingle_sets(pa.array([t or "" for t in want], pa.large_string()), 4)
+    got = [s for p in parts for s in shingle_sets(text_or_empty(p), 4)]
+    assert all(np.array_equal(a, b) for a, b in zip(got, whole, strict=True))
+
+
 def test_sharding(docs, empty):
     rows = sorted(sharding.assign_shards(docs, 8).collect(), key=lambda r: r["doc_id"])
     sizes = [len((t or "").encode()) + 1 for t in TEXTS]
