@@ -269,10 +269,10 @@ def marginal_gain(spark, sf_dir):
     return rounded(comparison.marginal_gains(summary(spark, sf_dir)))
 
 
-@query("""WITH s AS (SELECT p_brand AS name, p_type AS kind, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS k FROM part WHERE p_size <= 3 GROUP BY ALL)
+@query("""WITH s AS (SELECT p_brand AS name, p_type AS kind, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS k FROM part GROUP BY ALL)
 SELECT a.name AS name_a, b.name AS name_b, a.kind FROM s a JOIN s b ON a.kind = b.kind AND a.k = b.k AND a.name <> b.name""")
 def equivalent_stats(spark, sf_dir):
-    objects = table(spark, sf_dir, "part").where("p_size <= 3").groupBy(F.col("p_brand").alias("name"), F.col("p_type").alias("kind")).agg(F.collect_set("p_name").alias("keys"))
+    objects = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name"), F.col("p_type").alias("kind")).agg(F.collect_set("p_name").alias("keys"))
     return comparison.same_statistics(objects, objects)
 
 
