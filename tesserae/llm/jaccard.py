@@ -388,7 +388,8 @@ def _by_trees(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def dealt(some: DataFrame, *columns: str) -> DataFrame:
-        return some.join(sets.select("node", *columns), "node").select(*names, *columns).repartition(reducers, *AT).sortWithinPartitions(*AT)
+        # Merged at any size: the sets grow with the input.
+        return some.join(sets.select("node", *columns).hint("merge"), "node").select(*names, *columns).repartition(reducers, *AT).sortWithinPartitions(*AT)
 
     left = scratch.table(dealt(rows, "n_shingles", "bits").mapInArrow(leave, PLACED), "open")
     return dealt(left, "n_shingles", "bits", "shingles").mapInArrow(solve, "a long, b long").distinct()
@@ -409,7 +410,8 @@ def _members(placed: DataFrame, scratch: Scratch) -> DataFrame:
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
     )
     groups = scratch.table(counted.where("n > 1").groupBy("n", "x", "y", "leader").agg(F.min("key").alias("key")).select("key", "leader"), "groups")
-    return scratch.table(placed.join(groups, "key").select("key", "node", "leader"), "members")
+    # Merged at any size, since the groups grow with the input.
+    return scratch.table(placed.join(groups.hint("merge"), "key").select("key", "node", "leader"), "members")
 
 
 def _by_size(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -426,6 +428,8 @@ def _by_size(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         .select("node", F.xxhash64("shingle", "class").alias("key")),
         "placed",
     )
+
+
 def _stars(stars: DataFrame, sets: DataFrame) -> DataFrame:
     """Blocks of the nodes that meet a group's first node (leader), each with that node as its query."""
     counts = (
