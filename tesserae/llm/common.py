@@ -57,13 +57,30 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        """Delete the tables; nothing lazy may read them any more."""
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names, or all; nothing lazy may read them any more."""
         context = self.spark.sparkContext
-        for path in self.paths:
+        gone = [p for p in self.paths if not names or p.rsplit("/tesserae-", 1)[1].rsplit("-", 1)[0] in names]
+        for path in gone:
             place = context._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-        self.paths.clear()
+            self.paths.remove(path)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Let each job run inside delete its shuffle files when it has ended.
+
+    For jobs that write a table each: later ones read the tables, and a lost file of a table's
+    own job is made again within that job, as ever.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 @contextmanager
