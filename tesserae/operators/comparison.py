@@ -8,17 +8,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scores import direction, ratio_bucket
+from tesserae.operators.running import in_order, materialize
 
 
-def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks in which ties share their mean."""
-    rank = F.rank().over(Window.orderBy(value)) + (F.count("*").over(Window.partitionBy(value)) - 1) / 2.0
-    return df.withColumn(out, rank.cast("double"))
+def average_ranks(df: DataFrame, value: str, out: str, rows: str | None = None) -> DataFrame:
+    """Ranks in which ties share their mean; a row of df stands for as many as the column rows says, or for one."""
+    counts = df.groupBy(F.col(value).alias("_value")).agg((F.sum(rows) if rows else F.count("*")).alias("_ties"))
+    placed = in_order(counts, [F.asc_nulls_last("_value")], {"_before": "_ties"}, "ranks")
+    ranks = placed.select("_value", (F.col("_before") + (F.col("_ties") + 1) / 2.0).alias(out))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    both = average_ranks(average_ranks(df, x, "_x"), y, "_y")
-    return both.agg(F.corr("_x", "_y").alias("spearman"))
+    """The correlation of average ranks, from the counts of distinct pairs; NaN where one side is constant."""
+    pairs = materialize(df.groupBy(F.col(x).alias("_a"), F.col(y).alias("_b")).agg(F.count("*").alias("_rows")), "pairs")
+    both = average_ranks(average_ranks(pairs, "_a", "_x", "_rows"), "_b", "_y", "_rows")
+    mean = pairs.agg(((F.sum("_rows") + 1) / 2.0).alias("_mean"))  # of either side's ranks
+    dx, dy, n = F.col("_x") - F.col("_mean"), F.col("_y") - F.col("_mean"), F.col("_rows")
+    sums = both.crossJoin(F.broadcast(mean)).agg(F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy"))
+    spread = F.sqrt("xx") * F.sqrt("yy")
+    return sums.select(F.when(spread == 0, F.lit(float("nan"))).otherwise(F.col("xy") / F.when(spread != 0, spread)).alias("spearman"))
 
 
 def ordinal_spearman(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:

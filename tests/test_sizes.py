@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tesserae.operators import running
 
 
 def both(spark, folder, name, tables):
@@ -25,3 +27,32 @@ def test_nothing_in_both_tops(spark, tmp_path, name):
     got, wanted = both(spark, tmp_path, name, {"orders": APART})
     assert got == wanted
     assert name != "gain_recall" or (10, None) in got
+
+
+#: Orders with equal sums, one of unknown quantity, and one of unknown key.
+LINES = "SELECT CASE WHEN k < 3 THEN NULL ELSE k % 40 END AS l_orderkey, CASE WHEN k % 40 = 7 THEN NULL ELSE k % 5 END::DOUBLE AS l_quantity, (k * 37 % 101)::DOUBLE AS l_extendedprice FROM range(150) t(k)"
+
+
+def plan(spark, folder, name):
+    return __spark_entry__.queries()[name](spark, str(folder))._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["spearman_avg"])
+@pytest.mark.parametrize("lines", [LINES, LINES.replace("k % 5", "1"), LINES + " WHERE k = 5"])
+def test_ranks_as_in_sql(spark, tmp_path, name, lines):
+    got, wanted = both(spark, tmp_path, name, {"lineitem": lines})
+    assert str(got) == str(wanted)  # NaN too
+    assert "row_number" not in plan(spark, tmp_path, name) and "rank(" not in plan(spark, tmp_path, name)  # each a window over all rows
+
+
+def test_positions_over_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(500).selectExpr("id * 7 % 500 AS v", "id % 3 AS n")
+        rows = running.in_order(df, [F.desc("v")], {"before": "n"}, "test").orderBy(F.desc("v")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    upto = 0
+    for r in rows:
+        assert r["before"] == upto
+        upto += r["n"]
