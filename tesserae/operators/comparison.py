@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scores import direction, ratio_bucket
-from tesserae.operators.running import in_order, materialize
+from tesserae.operators.running import in_order, materialize, numbered
 
 
 def average_ranks(df: DataFrame, value: str, out: str, rows: str | None = None) -> DataFrame:
@@ -32,10 +32,11 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def ordinal_spearman(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """As spearman, with ties ordered by a third column."""
-    both = df.withColumns(
-        {"_x": F.row_number().over(Window.orderBy(x, tie)).cast("double"), "_y": F.row_number().over(Window.orderBy(y, tie)).cast("double")}
-    )
-    return both.agg(F.corr("_x", "_y").alias("spearman"))
+    both = df.select(F.col(x).alias("_a"), F.col(y).alias("_b"), F.col(tie).alias("_tie"))
+    for value, out in (("_a", "_x"), ("_b", "_y")):
+        both = numbered(both, [F.asc_nulls_last(value), F.asc_nulls_last("_tie")], out, "ordinal").drop(value)
+    found = F.corr(F.col("_x").cast("double"), F.col("_y").cast("double"))
+    return both.agg(F.coalesce(found, F.when(F.count("*") > 0, F.lit(float("nan")))).alias("spearman"))  # one row has no spread
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

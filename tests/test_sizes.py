@@ -37,7 +37,7 @@ def plan(spark, folder, name):
     return __spark_entry__.queries()[name](spark, str(folder))._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["spearman_avg"])
+@pytest.mark.parametrize("name", ["spearman_avg", "spearman_ordinal"])
 @pytest.mark.parametrize("lines", [LINES, LINES.replace("k % 5", "1"), LINES + " WHERE k = 5"])
 def test_ranks_as_in_sql(spark, tmp_path, name, lines):
     got, wanted = both(spark, tmp_path, name, {"lineitem": lines})
