@@ -121,14 +121,17 @@ def bottom_k(df: DataFrame, key: str, k: int, seed: str = "") -> DataFrame:
 
 
 def sample_grid(df: DataFrame, key: str, sizes: Sequence[int], seeds: Sequence[str]) -> DataFrame:
-    """size, seed, position, key: one bottom-k sample for each size and seed, in one pass."""
-    cells = F.array(*[F.struct(F.lit(n).alias("size"), F.lit(s).alias("seed")) for n in sizes for s in seeds])
-    wide = df.select(F.col(key).alias("key"), F.inline(cells)).withColumn(
-        "hash", F.md5(F.concat("seed", F.lit("/"), F.col("key").cast("string")))
-    )
-    order = Window.partitionBy("size", "seed").orderBy("hash", "key")
-    limit = max(sizes)
-    ranked = wide.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+    """size, seed, position, key: one bottom-k sample for each size and seed.
+
+    A seed's samples share one order; its first rows come from a bounded queue in each task, not from a sort.
+    """
+    first, most = None, max(sizes)
+    for seed in seeds:
+        hashed = df.select(F.lit(seed).alias("seed"), F.col(key).alias("key")).withColumn("hash", F.md5(F.concat("seed", F.lit("/"), F.col("key").cast("string"))))
+        one = hashed.orderBy(F.asc_nulls_last("hash"), F.asc_nulls_last("key")).limit(most)
+        first = one if first is None else first.unionByName(one)
+    order = Window.partitionBy("seed").orderBy(F.asc_nulls_last("hash"), F.asc_nulls_last("key"))
+    ranked = first.withColumn("position", F.row_number().over(order)).withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
     return ranked.where(F.col("position") <= F.col("size")).select("size", "seed", "position", "key")
 
 

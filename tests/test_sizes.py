@@ -45,6 +45,12 @@ def test_ranks_as_in_sql(spark, tmp_path, name, lines):
     assert "row_number" not in plan(spark, tmp_path, name) and "rank(" not in plan(spark, tmp_path, name)  # each a window over all rows
 
 
+def test_grid_as_in_sql(spark, tmp_path):
+    got, wanted = both(spark, tmp_path, "sample_grid", {"customer": "SELECT CASE WHEN k = 2 THEN NULL ELSE k END AS c_custkey FROM range(250) t(k)"})
+    assert got == wanted
+    assert plan(spark, tmp_path, "sample_grid").count("TakeOrderedAndProject") >= 3  # no task sorts its rows
+
+
 def test_positions_over_many_ranges(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
