@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scores import direction, ratio_bucket
-from tesserae.operators.running import in_order, materialize, numbered
+from tesserae.operators.running import in_order, materialize, numbered, quantiles
 
 
 def average_ranks(df: DataFrame, value: str, out: str, rows: str | None = None) -> DataFrame:
@@ -59,11 +59,14 @@ def change_summary(changed: DataFrame) -> DataFrame:
 def vector_diagnostics(changed: DataFrame) -> DataFrame:
     """Median and 90th percentile of |log ratio|, and the shares that went up and down."""
     log = F.abs(F.log(F.col("after") / F.col("before")))
-    return changed.agg(
-        F.percentile(log, F.lit(0.5)).alias("median_abs_log_ratio"), F.percentile(log, F.lit(0.9)).alias("p90_abs_log_ratio"),
+    both = quantiles(changed, log, [0.5, 0.9]).agg(
+        F.max(F.when(F.col("k") == 0, F.col("value"))).alias("median_abs_log_ratio"), F.max(F.when(F.col("k") == 1, F.col("value"))).alias("p90_abs_log_ratio")
+    )
+    shares = changed.agg(
         (F.count_if(F.col("after") > F.col("before")) / F.count("*")).alias("greater"),
         (F.count_if(F.col("after") < F.col("before")) / F.count("*")).alias("less"),
-    )
+    )
+    return both.crossJoin(F.broadcast(shares))  # one row
 
 
 def ratio_buckets(evaluated: DataFrame, value: str = "contribution") -> DataFrame:

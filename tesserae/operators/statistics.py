@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.running import quantiles
+
 PREDICATES_A_JOB = 200
 
 
@@ -46,9 +48,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def histogram_bounds(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """bucket, bound: equi-depth bounds of a numeric column, linear between values."""
-    shares = [k / buckets for k in range(buckets + 1)]
-    one = df.agg(F.percentile(column, F.array(*map(F.lit, shares))).alias("bounds"))
-    return one.select(F.posexplode("bounds").alias("bucket", "bound"))
+    found = quantiles(df, column, [k / buckets for k in range(buckets + 1)])
+    return found.select(F.col("k").alias("bucket"), F.col("value").alias("bound"))
 
 
 def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -45,6 +45,13 @@ def test_ranks_as_in_sql(spark, tmp_path, name, lines):
     assert "row_number" not in plan(spark, tmp_path, name) and "rank(" not in plan(spark, tmp_path, name)  # each a window over all rows
 
 
+@pytest.mark.parametrize("lines", [LINES, LINES + " WHERE k = 5", LINES + " WHERE k < 0", "SELECT NULL::DOUBLE AS l_extendedprice FROM range(3)"])
+def test_bounds_as_in_sql(spark, tmp_path, lines):
+    got, wanted = both(spark, tmp_path, "histogram_bounds", {"lineitem": lines})
+    assert got == wanted and len(got) == 11
+    assert "percentile(" not in plan(spark, tmp_path, "histogram_bounds")  # one buffer of all distinct values
+
+
 def test_grid_as_in_sql(spark, tmp_path):
     got, wanted = both(spark, tmp_path, "sample_grid", {"customer": "SELECT CASE WHEN k = 2 THEN NULL ELSE k END AS c_custkey FROM range(250) t(k)"})
     assert got == wanted
