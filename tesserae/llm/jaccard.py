@@ -206,7 +206,7 @@ def _describe(docs: DataFrame, width: int, sketch: bool) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS if sketch else CHUNK, np.uint32)
-        for batch in gathered(batches, mb=4):
+        for batch in gathered(batches, mb=1):
             sets = shingle_sets(text_or_empty(batch), width)
             joined = np.concatenate(sets)
             if sketch and len(joined):
@@ -266,7 +266,7 @@ def _keys(docs: DataFrame, width: int, percent: int, levels: np.ndarray | None)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: set[int] = set()
-        for batch in gathered(batches, mb=4):
+        for batch in gathered(batches, mb=1):
             # Copies that lie close together give their set once.
             hashes = batch.column("th").to_pylist()
             new = [k for k, h in enumerate(hashes) if h not in last and not last.add(h)]
@@ -289,7 +289,7 @@ def _whole_sets(chosen: DataFrame, width: int) -> DataFrame:
     """node, n_shingles, bits, shingles from node and text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, mb=4):
+        for batch in gathered(batches, mb=1):
             sets = shingle_sets(text_or_empty(batch), width)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()),
@@ -459,16 +459,20 @@ def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scr
         labelled.groupBy("key")
         .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.max(F.when(F.col("node") == F.col("leader"), F.col("label"))).alias("first_label"))
         .where("x <> y and n > 2")
-        .select("key", "first_label"),
+        .select("key", "first_label", "n"),
         "mixed",
     )
+    within = scratch.table(labelled.join(mixed, "key").select("key", "node", "leader", "label", "n", (F.col("label") != F.col("first_label")).alias("query")), "within")
+    # Near copies share most of their keys: groups of one leader are one where that makes fewer pairs.
+    alone = within.where("node = leader").groupBy("leader").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.min("key").alias("home"))
+    together = within.select("leader", "node").distinct().groupBy("leader").agg(F.count("*").alias("n"))
+    homes = together.join(alone, "leader").where("n * n <= pairs").select("leader", "home")
     sized = scratch.table(
-        labelled.join(mixed, "key")
-        .withColumn("query", F.col("label") != F.col("first_label"))
+        within.join(homes, "leader", "left").select(F.coalesce("home", "key").alias("key"), "node", "label", "query").distinct()
         .join(sets.select("node", "n_shingles"), "node")
         .select("key", "node", "label", "n_shingles", "query"),
         "sized",
-    )
+    )
     size = lambda own: F.coalesce(F.sum(F.when(own, F.col("n_shingles"))), F.lit(0))
     counts = scratch.table(
         sized.groupBy("key")
@@ -490,7 +494,7 @@ def classified(docs: DataFrame, width: int, percent: int, exact: bool = False) -
     """doc_id, th (hash of the text), n_shingles, component (null: an empty set), component_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    with bounded_batches(spark):
+    with bounded_batches(spark, rows=1000, mb=4):
         described = scratch.table(_describe(docs, width, exact), "described")
         levels = _levels(described) if exact else None
         rows = described.where("chunk is null").drop("chunk", "cells")

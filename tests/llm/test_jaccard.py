@@ -142,3 +142,26 @@ def test_trees_lose_no_pair():
 
 def test_empty_table(spark):
     assert J.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_groups_of_one_leader_are_compared_once(spark):
+    """Twelve keys over nearly the same sixty nodes; the pairs of a node's groups stay together."""
+    from tesserae.llm.common import Scratch
+
+    rows = [(key, node, 0) for key in range(12) for node in range(60) if node == 0 or (node + key) % 20]
+    rows += [(100 + key, node, 1000) for key in range(2) for node in [1000, *range(1001 + 50 * key, 1051 + 50 * key)]]  # apart but for the leader
+    members = spark.createDataFrame(rows, "key long, node long, leader long")
+    nodes = sorted({r[1] for r in rows})
+    labels = spark.createDataFrame([(n, n) for n in nodes], "node long, component long")
+    sets = spark.createDataFrame([(n, 100) for n in nodes], "node long, n_shingles long")
+    scratch = Scratch(spark)
+    found = J._blocks(members, labels, sets, scratch).select("key", "node").distinct().collect()
+    scratch.drop()
+    groups: dict[int, set[int]] = {}
+    for r in found:
+        groups.setdefault(r["key"], set()).add(r["node"])
+    assert len(found) == 60 + 2 * 51  # was 12 keys of 57 or 58 nodes
+    before: dict[int, set[int]] = {}
+    for key, node, _ in rows:
+        before.setdefault(key, set()).add(node)
+    assert all(any(one <= other for other in groups.values()) for one in before.values())
