@@ -11,6 +11,8 @@ table gives no rows. clean_lines() keeps all other columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEAT_PERCENT = 20
 MAX_LOST_PERCENT = 50
+PLACE_BITS = 32  # of a number that holds a window's place and the upper bits of its hash
 #: Patterns that Java and RE2 read alike.
 NAVIGATION = r"(\|[^|]*){3}|(>[^>]*){3}|( [-–·•] [^-–·•]*){3}"
 BOILERPLATE = (
@@ -35,16 +38,46 @@ def _words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
 
 
-def _longs(values: Column) -> Column:
-    """Positions of five-word windows that occur twice or more; values: the windows' hashes."""
-    ranked = F.sort_array(F.transform(values, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(values)
-    with_next = F.zip_with(
-        ranked, F.slice(ranked, 2, n), lambda x, y: F.struct(x["h"].alias("h"), x["i"].alias("i"), y["h"].alias("next"))
+def _neighbours(ranked: str, f: Callable[[Column, Column], Column]) -> Column:
+    """f of each element and the next one; null behind the last."""
+    return F.zip_with(ranked, F.slice(ranked, 2, F.size(ranked)), f)
+
+
+def _places(ranked: str, same: str, place: Callable[[Column], Column]) -> Column:
+    """Sorted places of the elements that are the same as the next or the last one."""
+    some = F.filter(ranked, lambda x, k: F.get(same, k) | F.get(same, k - 1))
+    return F.sort_array(F.transform(some, place))
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """docs with n_repeat_words, from the windows' hashes (_windows).
+
+    Equal hashes meet in sorted numbers of a hash's upper bits and its place. Where different
+    hashes have the same upper bits, whole hashes are sorted instead. Each sorted array is a
+    column, since an expression used twice would be sorted twice.
+    """
+    first = lambda some: F.slice("_windows", 1, F.when(some, F.size("_windows")).otherwise(0))
+    low = (1 << PLACE_BITS) - 1
+    place = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
+    packed = lambda h, i: F.coalesce(h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")), F.lit(0).cast("long"))
+    upper = lambda x, y: F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0
+    whole = lambda x, y: F.get("_windows", place(x)) == F.get("_windows", place(y))
+    ranked = docs.withColumn(
+        "_packed", F.sort_array(F.transform(first(F.size(F.array_distinct("_windows")) < F.size("_windows")), packed))
+    ).withColumns(
+        {
+            "_same": _neighbours("_packed", lambda x, y: upper(x, y) & whole(x, y)),
+            "_mixed": F.exists(_neighbours("_packed", lambda x, y: upper(x, y) & ~whole(x, y)), lambda x: F.coalesce(x, F.lit(False))),
+        }
     )
-    last = F.concat(F.array(F.lit(None).cast("long")), F.transform(ranked, lambda x: x["h"]))
-    twice = F.zip_with(with_next, last, lambda x, p: F.when((x["h"] == x["next"]) | (x["h"] == p), x["i"]))
-    return F.sort_array(F.filter(twice, lambda i: i.isNotNull()))
+    hashed = ranked.withColumn(
+        "_hashed", F.sort_array(F.transform(first(F.col("_mixed")), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ).withColumn("_equal", _neighbours("_hashed", lambda x, y: x["h"] == y["h"]))
+    places = F.when(F.col("_mixed"), _places("_hashed", "_equal", lambda x: x["i"])).otherwise(_places("_packed", "_same", place))
+    return (
+        hashed.withColumn("_places", places).withColumn("n_repeat_words", _covered(F.col("_places")))
+        .drop("_packed", "_same", "_mixed", "_hashed", "_equal", "_places")
+    )
 
 
 def _covered(places: Column) -> Column:
@@ -79,10 +112,10 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     marked = lambda x: F.regexp_count(x, F.lit(MARKED_WORD))
     spaces = lambda x: F.regexp_count(x, F.lit("[ \\t-\\r]+"))
     bad = lambda x: (
-        F.rlike(x, F.lit(NAVIGATION))
-        | F.rlike(x, F.lit(BOILERPLATE))
-        | ~F.rlike(x, F.lit(SENTENCE_END))
+        ~F.rlike(x, F.lit(SENTENCE_END))
         | ((marked(x) > 0) & (marked(x) * 5 > spaces(x) + 1))
+        | F.rlike(x, F.lit(NAVIGATION))
+        | F.rlike(x, F.lit(BOILERPLATE))
     )
     wide = base.withColumns(
         {
@@ -93,10 +126,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
             "_kept": F.filter("_lines", lambda x: ~bad(x)),
         }
     )
-    repeats = F.when(
-        F.size(F.array_distinct("_windows")) < F.size("_windows"), _covered(_longs(F.col("_windows")))
-    ).otherwise(F.lit(0).cast("long"))
-    counted = wide.withColumns({"n_repeat_words": repeats, "kept_text": F.array_join("_kept", "\n")})
+    counted = _with_repeats(wide).withColumn("kept_text", F.array_join("_kept", "\n"))
     judged = counted.withColumns(
         {
             "kept_chars": _without(F.col("kept_text"), "[ \\t-\\r]+"),

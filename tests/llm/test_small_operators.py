@@ -122,6 +122,22 @@ def test_line_rules(docs, empty):
     assert line_rules.clean_lines(docs).columns[: len(docs.columns)] == docs.columns
 
 
+@pytest.mark.parametrize("bits", [32, 63])
+def test_repeated_windows_sorted_once(spark, monkeypatch, bits):
+    """With 63 bits of place all windows of a text have one or two upper halves: whole hashes decide."""
+    monkeypatch.setattr(line_rules, "PLACE_BITS", bits)
+    r = random.Random(17)
+    rows = [(i, " ".join(r.choices("abc", k=r.randint(0, 40)))) for i in range(60)] + [(60, "a b c d e " * 50), (61, None)]
+    found = line_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sort_array(transform(") <= 4
+    got = {x["doc_id"]: x["n_repeat_words"] for x in found.collect()}
+    for i, t in rows:
+        words = (t or "").split()
+        windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        count = Counter(windows)
+        assert got[i] == len({k + j for k, w in enumerate(windows) if count[w] > 1 for j in range(5)})
+
+
 def test_line_verdicts(spark):
     good = "A line of plain words that ends well.\nAnd one more line of words, too."
     bad = "Home | News | Sport | More\nSign up and subscribe now.\nWORD!! WORD!! WORD!!\nno mark at the end of this line"
