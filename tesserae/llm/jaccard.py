@@ -12,7 +12,8 @@
    largest possible overlap is too small are pruned, and what is left is compared exactly where
    it is found. The links give first components; many groups are then of one and are done.
 3. In the other groups the trees of the members are traversed against each other, block by
-   block; document pairs of one component are skipped.
+   block; document pairs of one component are skipped. Members of large groups whose shingles
+   with any other member are too few for a link are left out before.
 
 Defined results: null and blank texts have an empty set and link with nothing; fewer words
 than a shingle has form one shingle; repeated rows and equal texts link; documents with one
@@ -404,14 +405,19 @@ def _members(placed: DataFrame, scratch: Scratch) -> DataFrame:
     """key, node, leader: groups of nodes that have a key.
 
     Groups of the same nodes have the same count and checksums; one of them stands for all.
+    A group's leader is the member that meets the most nodes in all its groups: near copies
+    agree on one of them, and most of their links are with it.
     """
     counted = placed.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("node").alias("leader"),
+        F.count("*").alias("n"), F.min("node").alias("least"),
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
     )
-    groups = scratch.table(counted.where("n > 1").groupBy("n", "x", "y", "leader").agg(F.min("key").alias("key")).select("key", "leader"), "groups")
-    # Merged at any size, since the groups grow with the input.
-    return scratch.table(placed.join(groups.hint("merge"), "key").select("key", "node", "leader"), "members")
+    groups = scratch.table(counted.where("n > 1").groupBy("n", "x", "y", "least").agg(F.min("key").alias("key")).select("key", "n"), "groups")
+    # Merged at any size, since the groups grow with the input. A node has a bounded number of keys.
+    met = placed.join(groups.hint("merge"), "key").groupBy("node").agg(F.sum("n").alias("met"), F.collect_list("key").alias("keys"))
+    weighed = scratch.table(met.select("node", "met", F.explode("keys").alias("key")), "weighed")
+    leaders = scratch.table(weighed.groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("leader")), "leaders")
+    return scratch.table(weighed.join(leaders.hint("merge"), "key").select("key", "node", "leader"), "members")
 
 
 def _by_size(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -443,12 +449,56 @@ def _stars(stars: DataFrame, sets: DataFrame) -> DataFrame:
     return own.unionByName(queries).select("key", "node", F.col("node").alias("label"), "query", F.lit(0).alias("i"), "j", F.lit(False).alias("inner"))
 
 
-def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+def _able(sized: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """sized without those members of groups of over BLOCK nodes that can have no link there.
+
+    A node's core are its shingles that another node of such groups has too: no overlap is
+    larger. Members of like size are a class. A node stays if its own core and the largest of
+    a class of its group are enough for a link with the smallest size in that class; a target
+    needs a class of queries. All links of queries stay, and no row is made for a pair.
+    """
+    large = scratch.table(sized.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key"), "large")
+    if not large.limit(1).count():
+        return sized
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            nodes = np.repeat(batch.column("node").to_numpy(), [len(x) for x in held])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([*held, np.zeros(0, np.int64)]))], ["node", "shingle"])
+
+    inside = scratch.table(sized.join(large, "key", "left_semi"), "inside")
+    single = (
+        sets.select("node", "shingles").join(inside.select("node").distinct().hint("merge"), "node", "left_semi")
+        .mapInArrow(spread, "node long, shingle long")
+        .groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+        .groupBy("node").agg(F.count("*").alias("single"))
+    )
+    cored = scratch.table(
+        inside.join(single, "node", "left").withColumn("core", F.col("n_shingles") - F.coalesce("single", F.lit(0)))
+        .withColumn("class", F.floor(F.log("n_shingles") / math.log(1.02))),
+        "cored",
+    )
+    kind = F.struct("low", "high", "most")
+    classes = (
+        cored.groupBy("key", "class", "query").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max("core").alias("most"))
+        .groupBy("key").agg(F.collect_list(kind).alias("any"), F.collect_list(F.when(F.col("query"), kind)).alias("asking"))
+    )
+    n, core = F.col("n_shingles"), F.col("core")
+    enough = lambda c: (
+        (100 * c["high"] >= percent * n) & (100 * n >= percent * c["low"])
+        & ((100 + percent) * F.least(core, c["most"]) >= percent * (n + c["low"]))
+    )
+    able = cored.join(classes, "key").where(F.exists(F.when(F.col("query"), F.col("any")).otherwise(F.col("asking")), enough))
+    return scratch.table(sized.join(large, "key", "left_anti").unionByName(able.select(*sized.columns)), "able")
+
+
+def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, percent: int = 0) -> DataFrame:
     """Members of groups with several components, in blocks.
 
     A group's members outside the component of its first node are queries; the others are
     only targets. Query blocks meet every target block and each other. All pairs of a group of
-    two are known from the stars.
+    two are known from the stars. percent bounds who stays in large groups (0: all).
     """
     named = labels.select("node", "component")
     labelled = scratch.table(
@@ -464,15 +514,17 @@ def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scr
     )
     within = scratch.table(labelled.join(mixed, "key").select("key", "node", "leader", "label", "n", (F.col("label") != F.col("first_label")).alias("query")), "within")
     # Near copies share most of their keys: groups of one leader are one where that makes fewer pairs.
-    alone = within.where("node = leader").groupBy("leader").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.min("key").alias("home"))
+    firsts = within.where("node = leader").select("key", "leader", "n")
+    alone = firsts.groupBy("leader").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.min("key").alias("home"))
     together = within.select("leader", "node").distinct().groupBy("leader").agg(F.count("*").alias("n"))
-    homes = together.join(alone, "leader").where("n * n <= pairs").select("leader", "home")
+    homes = firsts.select("key", "leader").join(together.join(alone, "leader").where("n * n <= pairs").select("leader", "home"), "leader").select("key", "home")
     sized = scratch.table(
-        within.join(homes, "leader", "left").select(F.coalesce("home", "key").alias("key"), "node", "label", "query").distinct()
+        within.join(homes, "key", "left").select(F.coalesce("home", "key").alias("key"), "node", "label", "query").distinct()
         .join(sets.select("node", "n_shingles"), "node")
         .select("key", "node", "label", "n_shingles", "query"),
         "sized",
     )
+    sized = _able(sized, sets, percent, scratch)
     size = lambda own: F.coalesce(F.sum(F.when(own, F.col("n_shingles"))), F.lit(0))
     counts = scratch.table(
         sized.groupBy("key")
@@ -522,7 +574,7 @@ def classified(docs: DataFrame, width: int, percent: int, exact: bool = False) -
         stars = scratch.table(members.where("node <> leader").select("leader", "node").distinct(), "stars")
         links = scratch.table(_by_trees(_stars(stars, sets), sets, percent, scratch), "links")
         labels = components(links, scratch)
-        more = scratch.table(_by_trees(_blocks(members, labels, sets, scratch), sets, percent, scratch), "more-links")
+        more = scratch.table(_by_trees(_blocks(members, labels, sets, scratch, percent), sets, percent, scratch), "more-links")
         final = components(links.unionByName(more), scratch) if more.limit(1).count() else labels
         reached = scratch.table(
             named.join(final, "node", "left").select("sid", "first_id", F.coalesce("component", "node").alias("component")), "reached"

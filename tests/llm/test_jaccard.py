@@ -165,3 +165,27 @@ def test_groups_of_one_leader_are_compared_once(spark):
     for key, node, _ in rows:
         before.setdefault(key, set()).add(node)
     assert all(any(one <= other for other in groups.values()) for one in before.values())
+
+
+def test_near_copies_make_no_row_for_each_pair(spark, monkeypatch):
+    """One text with a few words changed in each copy: the rows dealt into blocks follow the copies, not their pairs."""
+    monkeypatch.setattr(J, "BLOCK", 16)
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(100)]
+    texts = []
+    for _ in range(480):
+        w = list(base)
+        for k in r.sample(range(100), r.choice([0, 1, 1, 2, 3, 4])):
+            w[k] = f"x{r.randrange(10**9)}"
+        texts.append(" ".join(w))
+    texts += [t + " and these few more words at its end" for t in texts[:6]]
+    dealt, by_trees = [], J._by_trees
+
+    def counting(rows, *args):
+        dealt.append(rows.count())
+        return by_trees(rows, *args)
+
+    monkeypatch.setattr(J, "_by_trees", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(x) for x in J.near_duplicates(docs).collect()) == brute(texts, 4, 85)
+    assert dealt[1] < 8 * len(texts), dealt  # was 48 times
